@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sangam.llm.canonical import canonicalise
+from sangam.llm.mixture import mix
 from sangam.llm.neardup import near_duplicate_classes, similar_pairs, word_sets
+from sangam.llm.spans import shared_factors, shared_parts, sharing_pairs
+from sangam.llm.tokens import encode_column
 from sangam.sources.tables import distinct_reports, table
 
 
@@ -33,5 +36,31 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "form").filter("id_a < id_b and raw_a <> raw_b").select("id_a", "id_b")
 
 
-QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by byte_bpe_50k."""
+    return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture: each document that comes out, with its number of copies."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per listed source: target and actual share of the tokens, documents, repeats."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents with a common span of at least 240 code points."""
+    return sharing_pairs(shared_factors(table(spark, sf_dir, "documents")))
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document lies in spans of at least 240 code points shared with others."""
+    docs = table(spark, sf_dir, "documents")
+    return shared_parts(docs, shared_factors(docs))
+
+
+QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL: dict[str, str] = {}
