@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sangam.llm.canonical import canonicalise
+from sangam.llm.language import fit, label_texts
+from sangam.llm.mapping import map_values
 from sangam.llm.mixture import mix
 from sangam.llm.neardup import near_duplicate_classes, similar_pairs, word_sets
 from sangam.llm.spans import shared_factors, shared_parts, sharing_pairs
@@ -17,6 +19,13 @@ def canonical_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonicalise(distinct_reports(table(spark, sf_dir, "reports"), "id", "raw_text"), "id", "raw_text")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of the gazetteer that each freely written location names, or `unmatched`."""
+    e = table(spark, sf_dir, "extractions").filter("field_name = 'location_raw'").select(F.col("id").alias("extraction_id"), "value").distinct()
+    m = map_values(e, F.col("value"), table(spark, sf_dir, "rampur"), "location_id", ["name_en", "name_hi", "name_hi_latn"], "aliases")
+    return m.filter("entry is not null and not is_exact").groupBy("extraction_id").agg(F.min("entry").alias("location_id"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of reports of at least 40 words whose sets of words have a Jaccard index of at least 0.8."""
     return similar_pairs(word_sets(canonical_reports(spark, sf_dir), "id", "canonical", 40), 0.8)
@@ -36,6 +45,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "form").filter("id_a < id_b and raw_a <> raw_b").select("id_a", "id_b")
 
 
+def labelled_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = distinct_reports(table(spark, sf_dir, "reports"), "id", "raw_text", "language")
+    return label_texts(r, "raw_text", fit(table(spark, sf_dir, "reports").select("id", "raw_text", "language"), "id", "raw_text", "language"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of the whole sentences of each report whose label isn't exactly its only language."""
+    d = labelled_reports(spark, sf_dir)
+    right = (F.size("languages") == 1) & F.col("language").eqNullSafe(F.element_at("languages", 1))
+    return d.filter((F.size("languages") > 0) & ~right).select("id", F.explode("languages").alias("language"))
+
+
+def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every report with its language and confidence."""
+    d = labelled_reports(spark, sf_dir).select("id", F.explode("segments").alias("s"))
+    return d.select("id", F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"), F.col("s.language").alias("language"), F.round("s.confidence", 6).alias("confidence"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -62,5 +89,5 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_parts(docs, shared_factors(docs))
 
 
-QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p6_found": p6_found, "p6_segments": p6_segments, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL: dict[str, str] = {}
