@@ -33,6 +33,9 @@ LATIN_OTHER = {"ı": "i", "ɑ": "a", "ɡ": "g", "ʀ": "r", "ⅼ": "l", "ⅰ": "i
 INVISIBLE = [0x00AD, 0x034F, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), 0xFEFF, *range(0xFE00, 0xFE10)]
 HYPHENS = [0x2010, 0x2011]
 
+# Devanagari sequences that look like one letter or sign.
+SEQUENCES = {"अा": "आ", "अो": "ओ", "अौ": "औ", "अॉ": "ऑ", "आे": "ओ", "आै": "औ", "एे": "ऐ", "ाे": "ो", "ाै": "ौ"}
+
 TO_LATIN = CYRILLIC | GREEK | LATIN_OTHER
 TO_CYRILLIC = {v: k for k, v in reversed(list(CYRILLIC.items()))}
 TO_GREEK = {v: k for k, v in reversed(list(GREEK.items()))}
@@ -52,6 +55,7 @@ def _table() -> dict[int, str | None]:
 
 
 _PLAIN = _table()
+_SEQUENCE = re.compile("|".join(SEQUENCES))
 TOKEN = re.compile(r"\w[\ẁ-ͯऺ-ॏ]*")
 _FOREIGN = re.compile("[Ͱ-ϿЀ-ԯᲀ-᲏" + "".join(LATIN_OTHER) + "]")
 
@@ -60,7 +64,8 @@ def base_form(text: str) -> str:
     """Everything but look-alike letters."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFC", text.translate(_PLAIN))
+    t = unicodedata.normalize("NFC", text.translate(_PLAIN))
+    return _SEQUENCE.sub(lambda m: SEQUENCES[m.group()], t) if _SEQUENCE.search(t) else t
 
 
 def _script(ch: str) -> str:

@@ -35,7 +35,7 @@ ORDERS = (2, 3, 4)
 ABBREVIATED = {"no", "opp", "moh", "col", "mr", "mrs", "ms", "dr", "st", "rd", "nr", "ph", "apt", "smt", "shri", "h.no", "h", "nos", "tel", "mob", "sec", "ext", "approx"}
 # Forwarding and ticket marks; addresses of mail are no words either.
 MARKS = re.compile(
-    r"\S+@\S+|\S+\s?[\[(]at[\])]\s?\S+|\(?\bT[-‐‑–]\d+\)?|#\d+|^\s*(?:fwd?|fw|forwarded)\b\s*[:\-–]*|\(?forwarded as received\)?|>>+|\bpls share\b[.!]*|\bplease share\b[.!]*|\bplease forward\b[.!]*|\baage bhej do\b[.!]*|\baage bhejein\b[.!]*|आगे भेजें\s*[।.!]*",
+    r"\S+@\S+|\S+\s?[\[(]at[\])]\s?\S+|\(?\bT[-‐‑–]\d+\)?|#\d+|^\s*(?:fwd?|fw|forwarded)\b\s*[:\-–]*|\(?forwarded as received\)?|>>+|\bpls share\b[.!]*|\bplease share\b[.!]*|\bplease forward\b[.!]*|\baage bhej do\b[.!]*|\baage bhejein\b[.!]*|आगे भेजें\s*[।.!]*|^\s*-\s*shared from .{1,40}$|[-–]\s*shared from ward group\b",
     re.I | re.M,
 )
 _BREAK = re.compile(r"[.।!?]+(?=\s|$)")

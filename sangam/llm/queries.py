@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sangam.llm import pii
 from sangam.llm.canonical import canonicalise
 from sangam.llm.language import fit, label_texts
 from sangam.llm.mapping import map_values
@@ -63,6 +64,22 @@ def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"), F.col("s.language").alias("language"), F.round("s.confidence", 6).alias("confidence"))
 
 
+def mentions_of_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = distinct_reports(table(spark, sf_dir, "reports"), "id", "raw_text")
+    return pii.find_mentions(r, "raw_text", pii.fit(r, "id", "raw_text"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mention of personal information in the reports: kind and first character."""
+    d = mentions_of_reports(spark, sf_dir).select("id", F.explode("mentions").alias("m"))
+    return d.select("id", F.col("m.kind").alias("kind"), F.col("m.start").alias("start_pos")).distinct()
+
+
+def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every report's text with typed placeholders for its mentions."""
+    return mentions_of_reports(spark, sf_dir).select("id", F.size("mentions").alias("n_mentions"), "redacted")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -89,5 +106,5 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_parts(docs, shared_factors(docs))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p6_found": p6_found, "p6_segments": p6_segments, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL: dict[str, str] = {}
