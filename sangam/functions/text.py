@@ -9,13 +9,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sangam.functions import patterns as P
 
 SPACES = r"[\s\x85\xA0\x1C-\x1F  -     　]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else unicodedata.normalize("NFC", t) for t in texts])
 

@@ -8,7 +8,7 @@ repeated hours have no built-in function); EM runs on counts aggregated by (sour
 Defined results: null text -> status `missing`; blank, unreadable or impossible text -> `invalid`; a local time that a
 named zone skips or repeats (with no offset to tell which) -> `invalid` with reason `gap` / `overlap`; several readings
 of different instants whose best posterior is under `min_posterior` -> `ambiguous` with utc_us null. A null source is a
-source of its own. Repeated rows stay repeated; other columns are untouched.
+source of its own. Repeated rows stay repeated; other columns are untouched, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -218,7 +218,7 @@ def normalise_timestamps(
     status = F.when(F.col(text).isNull(), "missing").when(F.size("_sc") == 0, "invalid").when(F.col("_post") >= min_posterior, "resolved").otherwise("ambiguous")
     d = d.withColumn("_st", status)
     return d.select(
-        *[F.col(f"`{c}`") for c in df.columns],
+        *[F.col(f"`{c}`") for c in df.columns if c not in ("utc_us", "ts_status", "ts_reading", "ts_posterior", "ts_why")],
         F.when(F.col("_st") == "resolved", F.col("_best.utc_us")).alias("utc_us"),
         F.col("_st").alias("ts_status"),
         F.when(F.col("_st") == "resolved", F.col("_best.reading")).alias("ts_reading"),
