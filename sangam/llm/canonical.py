@@ -130,29 +130,38 @@ def apply_repairs(text: str, known: set[str]) -> str:
     return TOKEN.sub(lambda m: found.get(m.group(), m.group()), text) if found else text
 
 
-def canonicalise(df: DataFrame, id_col: str, text_col: str, out_col: str = "canonical", max_broadcast_words: int = 200_000) -> DataFrame:
-    """`df` (unique ids) plus out_col. Clean texts take one map; only texts with suspicious tokens meet the vocabulary."""
-    base_type = "struct<base:string,words:array<string>>"
+def canonicalise(df: DataFrame, id_col: str, text_col: str, out_col: str = "canonical", max_known: int = 200_000) -> DataFrame:
+    """`df` plus out_col. The accepted repairs are found first; up to max_known of them travel with the tasks and the texts
+    take one map without moving, beyond that only texts with suspicious tokens are joined with theirs."""
 
-    @F.pandas_udf(base_type)
-    def base_of(texts: pd.Series) -> pd.DataFrame:
-        b = [None if t is None else base_form(t) for t in texts]
-        w = [None if t is None else sorted({r.lower() for _, rs in suspicious(t) for r in rs}) or None for t in b]
-        return pd.DataFrame({"base": b, "words": w})
+    @F.pandas_udf("array<string>")
+    def doubtful(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else sorted({r.lower() for _, rs in suspicious(base_form(t)) for r in rs}) or None for t in texts])
+
+    foreign = F.col(text_col).rlike(_FOREIGN.pattern)
+    wanted = df.filter(foreign).select(F.col(id_col).alias("_id"), doubtful(F.col(text_col)).alias("w")).select("_id", F.explode("w").alias("word"))
+    wanted = durable(wanted.distinct(), "doubtful")
+    support = wanted.groupBy("word").agg(F.count("*").alias("n"))
+    candidates = broadcast_if_small(support.select("word"), max_known)
+    tokens = df.select(F.explode(F.split(F.lower(text_col), r"[^\p{L}\p{M}\p{N}_]+")).alias("word"))
+    accepted = tokens.join(candidates, "word").select("word").union(support.filter("n >= 2").select("word")).distinct()
+    few = accepted.limit(max_known + 1).collect()
+    if len(few) <= max_known:
+        shared = df.sparkSession.sparkContext.broadcast({r["word"] for r in few})
+
+        @F.pandas_udf("string")
+        def canonical(texts: pd.Series) -> pd.Series:
+            known = shared.value
+            return pd.Series([None if t is None else apply_repairs(base_form(t), known) for t in texts])
+
+        return df.withColumn(out_col, canonical(F.col(text_col)))
 
     @F.pandas_udf("string")
     def repaired(texts: pd.Series, known: pd.Series) -> pd.Series:
-        return pd.Series([t if k is None or t is None else apply_repairs(t, set(k)) for t, k in zip(texts, known)])
+        return pd.Series([None if t is None else base_form(t) if k is None else apply_repairs(base_form(t), set(k)) for t, k in zip(texts, known)])
 
+    own = wanted.join(accepted, "word").groupBy("_id").agg(F.collect_set("word").alias("_known"))
     kept = [F.col(f"`{c}`") for c in df.columns]
-    d = durable(df.withColumn("_b", base_of(F.col(text_col))).select(*kept, F.col("_b.base").alias("_base"), F.col("_b.words").alias("_words")), "canonical")
-    wanted = d.filter("_words is not null").select(F.col(id_col).alias("_id"), F.explode("_words").alias("word")).distinct()
-    support = wanted.groupBy("word").agg(F.count("*").alias("n"))
-    candidates = broadcast_if_small(support.select("word"), max_broadcast_words)
-    tokens = d.select(F.explode(F.split(F.lower("_base"), r"[^\p{L}\p{M}\p{N}_]+")).alias("word"))
-    seen = tokens.join(candidates, "word").select("word").distinct()
-    accepted = seen.union(support.filter("n >= 2").select("word")).distinct()
-    known = wanted.join(accepted, "word").groupBy("_id").agg(F.collect_set("word").alias("_known"))
-    plain = d.filter("_words is null").select(*kept, F.col("_base").alias(out_col))
-    mixed = d.filter("_words is not null").join(known, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left")
-    return plain.union(mixed.select(*kept, repaired("_base", "_known").alias(out_col)))
+    clean = df.filter(~F.coalesce(foreign, F.lit(False))).select(*kept, repaired(F.col(text_col), F.lit(None).cast("array<string>")).alias(out_col))
+    mixed = df.filter(foreign).join(own, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left")
+    return clean.union(mixed.select(*kept, repaired(F.col(text_col), F.col("_known")).alias(out_col)))

@@ -13,11 +13,13 @@ from sangam.llm.mixture import mix
 from sangam.llm.neardup import near_duplicate_classes, similar_pairs, word_sets
 from sangam.llm.spans import shared_factors, shared_parts, sharing_pairs
 from sangam.llm.tokens import encode_column
-from sangam.sources.tables import distinct_reports, table
+from sangam.session import durable
+from sangam.sources.tables import table
 
 
 def canonical_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonicalise(distinct_reports(table(spark, sf_dir, "reports"), "id", "raw_text"), "id", "raw_text")
+    """All rows of reports, redelivered ones too, with their canonical text."""
+    return canonicalise(table(spark, sf_dir, "reports").select("id", "raw_text").filter("raw_text is not null"), "id", "raw_text")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,33 +41,34 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of reports with one canonical form and different raw texts. Texts are compared by 128-bit digests."""
-    d = canonical_reports(spark, sf_dir).filter("raw_text is not null").select("id", F.md5("raw_text").alias("raw"), F.md5("canonical").alias("form"))
+    d = durable(canonical_reports(spark, sf_dir).select("id", F.md5("raw_text").alias("raw"), F.md5("canonical").alias("form")).distinct(), "forms")
     several = d.groupBy("form").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).filter("a <> b").select("form")
     d = d.join(several, "form")
     a, b = d.select("form", F.col("id").alias("id_a"), F.col("raw").alias("raw_a")), d.select("form", F.col("id").alias("id_b"), F.col("raw").alias("raw_b"))
     return a.join(b, "form").filter("id_a < id_b and raw_a <> raw_b").select("id_a", "id_b")
 
 
-def labelled_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = distinct_reports(table(spark, sf_dir, "reports"), "id", "raw_text", "language")
-    return label_texts(r, "raw_text", fit(table(spark, sf_dir, "reports").select("id", "raw_text", "language"), "id", "raw_text", "language"))
+def labelled_reports(spark: SparkSession, sf_dir: str, with_segments: bool) -> DataFrame:
+    """All rows of reports, redelivered ones too."""
+    r = table(spark, sf_dir, "reports").select("id", "raw_text", "language")
+    return label_texts(r, "raw_text", fit(r, "id", "raw_text", "language"), with_segments=with_segments)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of the whole sentences of each report whose label isn't exactly its only language."""
-    d = labelled_reports(spark, sf_dir)
+    d = labelled_reports(spark, sf_dir, False)
     right = (F.size("languages") == 1) & F.col("language").eqNullSafe(F.element_at("languages", 1))
-    return d.filter((F.size("languages") > 0) & ~right).select("id", F.explode("languages").alias("language"))
+    return d.filter((F.size("languages") > 0) & ~right).select("id", F.explode("languages").alias("language")).distinct()
 
 
 def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of every report with its language and confidence."""
-    d = labelled_reports(spark, sf_dir).select("id", F.explode("segments").alias("s"))
+    d = labelled_reports(spark, sf_dir, True).select("id", F.explode("segments").alias("s")).distinct()
     return d.select("id", F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"), F.col("s.language").alias("language"), F.round("s.confidence", 6).alias("confidence"))
 
 
 def mentions_of_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = distinct_reports(table(spark, sf_dir, "reports"), "id", "raw_text")
+    r = table(spark, sf_dir, "reports").select("id", "raw_text")
     return pii.find_mentions(r, "raw_text", pii.fit(r, "id", "raw_text"))
 
 
@@ -77,7 +80,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every report's text with typed placeholders for its mentions."""
-    return mentions_of_reports(spark, sf_dir).select("id", F.size("mentions").alias("n_mentions"), "redacted")
+    return mentions_of_reports(spark, sf_dir).select("id", F.size("mentions").alias("n_mentions"), "redacted").distinct()
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +100,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents with a common span of at least 240 code points."""
-    return sharing_pairs(shared_factors(table(spark, sf_dir, "documents")))
+    return sharing_pairs(shared_factors(table(spark, sf_dir, "documents"), cover=False))
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

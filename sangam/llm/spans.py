@@ -142,8 +142,9 @@ def factor_block(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["doc_a", "doc_b", "start_a", "start_b", "size"])
 
 
-def shared_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 240, gram: int | None = None, hot: int = 64, block_rows: int = 20_000) -> DataFrame:
-    """Factors (doc_a < doc_b, start_a, start_b, size >= length): together they cover every shared span; long spans come in overlapping parts."""
+def shared_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 240, gram: int | None = None, hot: int = 64, block_rows: int = 20_000, cover: bool = True) -> DataFrame:
+    """Factors (doc_a < doc_b, start_a, start_b, size >= length): together they cover every shared span; long spans come in
+    overlapping parts. cover False is enough for pairs: a span that recurs in one document is then placed once."""
     gram = gram or length // 2
     reach = length - gram
     d = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).filter(F.length("text") >= length).distinct()
@@ -189,9 +190,15 @@ def shared_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = keyed.groupBy("k1", "k2", "doc").agg(F.min("start").alias("start"))
     met = first.groupBy("k1", "k2").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("k1", "k2")
     first = first.join(met, ["k1", "k2"])
-    left, right = first.withColumnsRenamed({"doc": "doc_a", "start": "start_a"}), first.withColumnsRenamed({"doc": "doc_b", "start": "start_b"})
-    many = left.join(right, ["k1", "k2"]).filter("doc_a < doc_b").select("doc_a", "doc_b", "start_a", "start_b", F.lit(length).cast("int").alias("size"))
-    return few.union(many)
+
+    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
+        left, right = (x.select("k1", "k2", F.col("doc").alias(f"doc_{s}"), F.col("start").alias(f"start_{s}")) for x, s in ((a, "a"), (b, "b")))
+        return left.join(right, ["k1", "k2"]).filter("doc_a < doc_b").select("doc_a", "doc_b", "start_a", "start_b", F.lit(length).cast("int").alias("size"))
+
+    if not cover:
+        return few.union(meet(first, first))
+    every = keyed.join(met, ["k1", "k2"]).distinct()
+    return few.union(meet(every, first).union(meet(first, every)).distinct())
 
 
 def sharing_pairs(factors: DataFrame) -> DataFrame:
