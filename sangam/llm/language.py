@@ -11,7 +11,7 @@ marks are removed. A sentence with fewer than `min_words` words or a confidence
 a language of its own unless it is all there is.
 
 Defined results: null, empty and wordless texts get no segments, no languages and null confidence. Repeated rows give
-repeated results. Texts of any length are used whole.
+repeated results. Texts of any length are used whole. Columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from sangam.llm.canonical import TO_LATIN, base_form
+from sangam.llm.sample import bounded_sample
 
 LANGUAGES = ("en", "hi", "hi-Latn")
 DIM = 1 << 16
@@ -35,9 +36,12 @@ ORDERS = (2, 3, 4)
 ABBREVIATED = {"no", "opp", "moh", "col", "mr", "mrs", "ms", "dr", "st", "rd", "nr", "ph", "apt", "smt", "shri", "h.no", "h", "nos", "tel", "mob", "sec", "ext", "approx"}
 # Forwarding and ticket marks; addresses of mail are no words either.
 MARKS = re.compile(
-    r"\S+@\S+|\S+\s?[\[(]at[\])]\s?\S+|\(?\bT[-‐‑–]\d+\)?|#\d+|^\s*(?:fwd?|fw|forwarded)\b\s*[:\-–]*|\(?forwarded as received\)?|>>+|\bpls share\b[.!]*|\bplease share\b[.!]*|\bplease forward\b[.!]*|\baage bhej do\b[.!]*|\baage bhejein\b[.!]*|आगे भेजें\s*[।.!]*|^\s*-\s*shared from .{1,40}$|[-–]\s*shared from ward group\b",
+    r"\(?\bT[-‐‑–]\d+\)?|#\d+|^\s*(?:fwd?|fw|forwarded)\b\s*[:\-–]*|\(?forwarded as received\)?|>>+|\b(?:pls|please) share\b[.!]*|\bplease forward\b[.!]*|\baage bhej(?: do|ein)\b[.!]*|आगे भेजें\s*[।.!]*|^\s*-\s*shared from .{1,40}$|[-–]\s*shared from ward group\b",
     re.I | re.M,
 )
+_MAIL = re.compile(r"[^\s@]+@\S+|\S+\s?[\[(]at[\])]\s?\S+")
+#: What every mark holds, to pass by texts without any.
+_MARKED = re.compile("T[-‐‑–][0-9]|#[0-9]|>>|[Ff][Ww]|[Ff][Oo][Rr][Ww]|[Ss][Hh][Aa][Rr][Ee]|[Bb][Hh][Ee][Jj]|आगे भेजें|t[-‐‑–][0-9]")
 _BREAK = re.compile(r"[.।!?]+(?=\s|$)")
 _SOFT_BREAK = re.compile(r"[\r\n]+| {2,}")
 _WORDS = re.compile(r"[^\W\d_][^\W\d_ऺ-ॏँ-ः़‍‌]*(?:[ऺ-ॏँ-ः़]+[^\W\d_]*)*")
@@ -74,7 +78,11 @@ def pieces_of(text: str | None) -> list[tuple[int, int, str, int]]:
     """(start, end, frame text in lower case, number of words) of each sentence with words. Positions are those of `text`."""
     if not text:
         return []
-    plain = MARKS.sub(lambda m: " " * len(m.group()), text)
+    plain = text
+    if "@" in text or "at]" in text or "at)" in text:
+        plain = _MAIL.sub(lambda m: " " * len(m.group()), plain)
+    if _MARKED.search(plain):
+        plain = MARKS.sub(lambda m: " " * len(m.group()), plain)
     out = []
     for a, b in sentences(plain):
         s = base_form(plain[a:b])
@@ -82,7 +90,7 @@ def pieces_of(text: str | None) -> list[tuple[int, int, str, int]]:
         if not words:
             continue
         frame = _deva(words[0])
-        kept = [w for w in words if _deva(w) == frame]
+        kept = words if s.isascii() else [w for w in words if _deva(w) == frame]
         joined = " ".join(kept).lower()
         if not joined.isascii() and not frame:
             joined = "".join(TO_LATIN.get(c, c) for c in joined)
@@ -202,17 +210,17 @@ def inverse_frequencies(df: DataFrame, text_col: str) -> np.ndarray:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, rows = np.zeros(DIM, np.int64), 0
-        seen = np.zeros((32, DIM), bool)
+        seen = np.zeros((32, DIM), np.uint8)
         for b in batches:
-            texts = [" ".join(p[2] for p in pieces_of(t)) for t in b["t"]]
-            texts = [t for t in texts if t]
+            texts = [" ".join(_WORDS.findall(base_form(t).lower())) for t in b["t"] if t]
+            texts = [f" {t} " for t in texts if t]
             rows += len(texts)
             for i in range(0, len(texts), 32):
                 f, first = features(texts[i : i + 32])
                 size = np.diff(np.append(first, len(f)))
-                seen[:] = False
-                seen[np.repeat(np.arange(len(size)), size), f] = True
-                total += seen.sum(0)
+                seen[:] = 0
+                seen.ravel()[np.repeat(np.arange(len(size)), size) * DIM + f] = 1
+                total += seen.sum(0, dtype=np.uint8)
         hit = np.flatnonzero(total)
         yield pd.DataFrame({"f": np.append(hit, -1), "n": np.append(total[hit], rows)})
 
@@ -225,9 +233,9 @@ def inverse_frequencies(df: DataFrame, text_col: str) -> np.ndarray:
 
 
 def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = 6000) -> Model:
-    """A model from at most sample_rows labelled texts (those of least id hash) and idf over all texts."""
+    """A model from about sample_rows labelled texts (bounded_sample) and idf over all texts."""
     labelled = df.filter(F.col(label_col).isin(*LANGUAGES) & F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("t"), F.col(label_col).alias("y"))
-    sample = labelled.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).toPandas()
+    sample = bounded_sample(labelled, id_col, sample_rows).toPandas().sort_values([id_col, "t"])
     texts, labels = [], []
     for t, y in zip(sample["t"], sample["y"]):
         for _, _, s, n in pieces_of(t):
@@ -244,8 +252,9 @@ SEGMENTS = ArrayType(StructType([StructField("start", LongType()), StructField("
 RESULT = StructType([StructField("segments", SEGMENTS), StructField("languages", ArrayType(StringType())), StructField("language", StringType()), StructField("confidence", DoubleType())])
 
 
-def label_texts(df: DataFrame, text_col: str, model: Model, min_words: int = 2, min_confidence: float = 0.8) -> DataFrame:
-    """`df` plus segments, languages (sorted, of whole sentences), language (of most words) and its confidence."""
+def label_texts(df: DataFrame, text_col: str, model: Model, min_words: int = 2, min_confidence: float = 0.8, with_segments: bool = True) -> DataFrame:
+    """`df` plus segments (left empty unless with_segments), languages (sorted, of whole sentences), language (of most words)
+    and its confidence."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)
@@ -259,7 +268,8 @@ def label_texts(df: DataFrame, text_col: str, model: Model, min_words: int = 2,
         for ps in pieces:
             segs, sure, mass = [], set(), np.zeros(len(LANGUAGES))
             for a, b, _, n in ps:
-                segs.append({"start": a, "end": b, "language": LANGUAGES[best[k]], "confidence": float(conf[k])})
+                if with_segments:
+                    segs.append({"start": a, "end": b, "language": LANGUAGES[best[k]], "confidence": float(conf[k])})
                 mass += n * prob[k]
                 if n >= min_words and conf[k] >= min_confidence:
                     sure.add(LANGUAGES[best[k]])
@@ -269,4 +279,5 @@ def label_texts(df: DataFrame, text_col: str, model: Model, min_words: int = 2,
         return pd.DataFrame(rows, columns=RESULT.names)
 
     d = df.withColumn("_l", label(F.col(text_col)))
-    return d.select(*[F.col(f"`{c}`") for c in df.columns], "_l.segments", "_l.languages", F.col("_l.language").alias("found_language"), F.col("_l.confidence").alias("found_confidence"))
+    results = ("segments", "languages", "found_language", "found_confidence")
+    return d.select(*[F.col(f"`{c}`") for c in df.columns if c not in results], "_l.segments", "_l.languages", F.col("_l.language").alias("found_language"), F.col("_l.confidence").alias("found_confidence"))
