@@ -5,7 +5,8 @@ regularised-leader with elastic-net penalties on a bounded sample of labelled te
 label the first model contradicts are left out, since labels are wrong for many texts) and calibrated by a temperature
 on held-out sentences. Document frequencies are counted over all texts.
 
-A sentence's language is that of its frame: words in another script than its first word (a place phrase) are left out.
+A sentence's language is that of its frame: words in another script than its first word (a place phrase) are left out; a
+sentence that ends in a danda is Devanagari.
 Names and places occur in all languages alike, so the weights learned for them stay near zero. Ticket and forwarding
 marks are removed. A sentence with fewer than `min_words` words or a confidence under `min_confidence` doesn't speak for
 a language of its own unless it is all there is.
@@ -36,7 +37,7 @@ ORDERS = (2, 3, 4)
 ABBREVIATED = {"no", "opp", "moh", "col", "mr", "mrs", "ms", "dr", "st", "rd", "nr", "ph", "apt", "smt", "shri", "h.no", "h", "nos", "tel", "mob", "sec", "ext", "approx"}
 # Forwarding and ticket marks; addresses of mail are no words either.
 MARKS = re.compile(
-    r"\(?\bT[-‐‑–]\d+\)?|#\d+|^\s*(?:fwd?|fw|forwarded)\b\s*[:\-–]*|\(?forwarded as received\)?|>>+|\b(?:pls|please) share\b[.!]*|\bplease forward\b[.!]*|\baage bhej(?: do|ein)\b[.!]*|आगे भेजें\s*[।.!]*|^\s*-\s*shared from .{1,40}$|[-–]\s*shared from ward group\b",
+    r"\(?\bT[-‐‑–]\d+\)?|#\d+|^\s*(?:(?:fw?d{1,2}|fw|forwarded)\b\s*[:\-–]*\s*)+|\(?forwarded as received\)?|>>+|\b(?:pls|please) share\b[.!]*|\bplease forward\b[.!]*|\baage bhej(?: do|ein)\b[.!]*|आगे भेजें\s*[।.!]*|^\s*-\s*shared from .{1,40}$|[-–]\s*shared from ward group\b",
     re.I | re.M,
 )
 _MAIL = re.compile(r"[^\s@]+@\S+|\S+\s?[\[(]at[\])]\s?\S+")
@@ -89,7 +90,7 @@ def pieces_of(text: str | None) -> list[tuple[int, int, str, int]]:
         words = _words_of(s)
         if not words:
             continue
-        frame = _deva(words[0])
+        frame = _deva(words[0]) or s.rstrip().endswith("।") and any(map(_deva, words))
         kept = words if s.isascii() else [w for w in words if _deva(w) == frame]
         joined = " ".join(kept).lower()
         if not joined.isascii() and not frame:
