@@ -11,7 +11,7 @@ precision); any labelled spans of the same shape serve. After decoding, an exact
 kind starts and ends and drops what can't be one.
 
 Defined results: null and empty texts have no mentions; text outside mentions is returned byte for byte; repeated rows
-give repeated results; texts are read whole.
+give repeated results; texts are read whole; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from sangam.llm.canonical import INVISIBLE, TO_LATIN
+from sangam.llm.sample import bounded_sample
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 #: O, then begin and inside of each kind
@@ -64,6 +65,18 @@ def one_form(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_PLAIN)
 
 
+_UNSEEN = re.compile("[" + "".join(map(re.escape, sorted(_SKIP))) + "]| (?= )")
+
+
+def visible(t: str) -> tuple[str, list[int] | None]:
+    """The text without characters that can't be seen and with single blanks, and where each character stood (None: all stayed)."""
+    if not _UNSEEN.search(t):
+        return t, None
+    gone = {m.start() for m in _UNSEEN.finditer(t)}
+    kept = [i for i in range(len(t)) if i not in gone]
+    return "".join(t[i] for i in kept), kept
+
+
 _NAME = r"[^\W\d_][^\W\d_ऀ-ः़-ॏ]*(?:[ऀ-ः़-ॏ]+[^\W\d_]*)*"
 _TWO = rf"({_NAME} {_NAME})"
 # Wordings around names of people, numbers of people and home addresses.
@@ -85,7 +98,7 @@ _ADDRESS_CUES = re.compile(r"(?:address:|ghar ka pata|parents stay at|the house
 
 def weak_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by wordings: labels for training."""
-    t = one_form(text)
+    t, stood = visible(one_form(text))
     out = [(m.start(), m.end(), "email") for m in EMAIL.finditer(t) ]
     for pattern, kind in ((ID_NUMBER, "id_number"), (LONG_PHONE, "phone"), (PHONE, "phone")):
         out += [(m.start(), m.end(), kind) for m in pattern.finditer(t)]
@@ -97,7 +110,7 @@ def weak_spans(text: str) -> list[tuple[int, int, str]]:
     for s in out:
         if not kept or s[0] >= kept[-1][1]:
             kept.append(s)
-    return kept
+    return kept if stood is None else [(stood[a], stood[b - 1] + 1, k) for a, b, k in kept]
 
 
 # ---- characters as the network sees them
@@ -155,16 +168,28 @@ class Reader:
         return ids, pos
 
 
-def split_sentences(t: str) -> list[tuple[int, int]]:
-    out, start = [], 0
+_CLAUSE = re.compile(rf",\s+(?=({_NAME})(?!\s*\d))")
+
+
+def split_sentences(t: str, common: set[str] = frozenset()) -> list[tuple[int, int]]:
+    """(start, end) of sentences, and of their clauses: a comma before a common word ends one (a comma before a name or a
+    number may stand inside an address)."""
+    cuts = []
     for m in _ENDS.finditer(t):
-        before = t[start : m.start()].rsplit(None, 1)
-        if m.group() == "." and before and before[-1].lstrip("(,") in _NO_END:
-            continue
-        out.append((start, m.end()))
-        start = m.end()
-    out.append((start, len(t)))
-    return [(a, b) for a, b in out if b > a]
+        if m.group() == ".":
+            before = t[max(0, m.start() - 8) : m.start()].rsplit(None, 1)
+            if before and before[-1].lstrip("(,") in _NO_END:
+                continue
+        cuts.append(m.end())
+    if common:
+        cuts += [m.start() + 1 for m in _CLAUSE.finditer(t) if m.group(1) in common]
+        cuts.sort()
+    out, start = [], 0
+    for c in [*cuts, len(t)]:
+        if c > start:
+            out.append((start, c))
+            start = c
+    return out
 
 
 # ---- network
@@ -388,21 +413,39 @@ class Finder:
             for a in range(0, max(1, n - WINDOW + STRIDE), STRIDE) if n > WINDOW else (0,):
                 windows.append((k, a, min(n, a + WINDOW)))
         arrays = [np.frombuffer(s, np.uint16) for s in sentences]
-        sums = [np.zeros((len(a), len(TAGS)), np.float32) for a in arrays]
-        times = [np.zeros((len(a), 1), np.float32) for a in arrays]
+        scores: list = [None] * len(sentences)
+        times: dict[int, np.ndarray] = {}
         windows.sort(key=lambda w: w[2] - w[1])
         for i in range(0, len(windows), 512):
             part = windows[i : i + 512]
             ids, mask, _ = pad([(arrays[k][a:b], None) for k, a, b in part])
-            s = self.tagger.infer(ids, mask)
+            s = self.tagger.infer(ids, mask).transpose(1, 0, 2)
             for j, (k, a, b) in enumerate(part):
-                sums[k][a:b] += s[: b - a, j]
-                times[k][a:b] += 1
+                n = len(arrays[k])
+                if n <= WINDOW:
+                    scores[k] = s[j, :n]
+                else:
+                    if scores[k] is None:
+                        scores[k], times[k] = np.zeros((n, len(TAGS)), np.float32), np.zeros((n, 1), np.float32)
+                    scores[k][a:b] += s[j, : b - a]
+                    times[k][a:b] += 1
         lean = np.array([0.0 if t[0] != "B" else 0.5 if t.endswith("person") else 3.0 for t in TAGS], np.float32)  # the exact check follows, so doubtful mentions may begin
-        order = sorted(range(len(sentences)), key=lambda i: len(arrays[i]))
-        for i in range(0, len(order), 256):
-            part = order[i : i + 256]
-            for k, path in zip(part, self.tagger.viterbi([sums[k] / np.maximum(times[k], 1) + lean for k in part])):
+        trans = self.tagger.p["trans"]
+        most = 2 * max(0.0, float(trans[self.tagger.allowed].max() - trans[0, 0]), float(np.abs(self.tagger.p["start"]).max()))  # what a path can gain by transitions
+        doubtful = []
+        for k, s in enumerate(scores):
+            if k in times:
+                s = s / times[k]
+            s = s + lean
+            if (s[:, 1:].max(1) > s[:, 0] - most).any():
+                doubtful.append((len(s), k, s))
+            else:
+                self.known[sentences[k]] = []
+            scores[k] = None
+        doubtful.sort(key=lambda x: x[:2])
+        for i in range(0, len(doubtful), 256):
+            part = doubtful[i : i + 256]
+            for (_, k, _), path in zip(part, self.tagger.viterbi([x[2] for x in part])):
                 spans: list[tuple[int, int, str]] = []
                 for t in np.flatnonzero(path):
                     y = int(path[t])
@@ -410,39 +453,40 @@ class Finder:
                         spans.append((int(t), int(t) + 1, TAGS[y][2:]))
                     elif spans:
                         spans[-1] = (spans[-1][0], int(t) + 1, spans[-1][2])
-                if len(self.known) >= self.limit:
-                    self.known.clear()
                 self.known[sentences[k]] = spans
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """Checked (start, end, kind) of each text, in order."""
+        if len(self.known) >= self.limit:
+            self.known.clear()
         plans, unseen = [], {}
         for text in texts:
             plan = []
             if text:
-                t = one_form(text)
-                for a, b in split_sentences(t):
+                t, stood = visible(one_form(text))
+                for a, b in split_sentences(t, self.common):
                     ids, pos = self.reader.read(t[a:b])
                     if ids:
                         key = np.array(ids, np.uint16).tobytes()
                         plan.append((key, a, pos))
                         if key not in self.known:
                             unseen[key] = None
-                plans.append((t, plan))
+                plans.append((t, plan, stood))
             else:
-                plans.append(("", []))
+                plans.append(("", [], None))
         todo = list(unseen)
         seen: dict[bytes, list] = {}
         for i in range(0, len(todo), 4096):
             self._decode(todo[i : i + 4096])
             seen.update((k, self.known[k]) for k in todo[i : i + 4096])
         out = []
-        for t, plan in plans:
+        for t, plan, stood in plans:
             found = []
             for key, at, pos in plan:
                 for x, y, kind in seen.get(key) or self.known.get(key) or ():
                     found.append((at + pos[x], at + pos[y - 1] + 1, kind))
-            out.append(settle(t, found, self.common, self.near))
+            spans = settle(t, found, self.common, self.near)
+            out.append(spans if stood is None else [(stood[a], stood[b - 1] + 1, k) for a, b, k in spans])
         return out
 
 
@@ -522,7 +566,7 @@ def training_windows(texts: list[str], reader: Reader, label: Callable[[str], li
     out: dict[tuple, None] = {}
     for text in texts:
         t, spans = one_form(text), label(text)
-        for a, b in split_sentences(t):
+        for a, b in split_sentences(t, reader.common):
             ids, pos = reader.read(t[a:b])
             tags = [0] * len(ids)
             for s, e, kind in spans:
@@ -539,10 +583,10 @@ def training_windows(texts: list[str], reader: Reader, label: Callable[[str], li
 
 
 def fit(df: DataFrame, id_col: str, text_col: str, label: Callable[[str], list[tuple[int, int, str]]] = weak_spans, sample_rows: int = 12_000, windows: int = 5000, repeat: int = 4, epochs: int = 4) -> Finder:
-    """A finder trained on at most `windows` windows with mentions (each `repeat` times) and as many without, from at most
-    sample_rows texts (those of least id hash)."""
+    """A finder trained on at most `windows` windows with mentions (each `repeat` times) and as many without, from about
+    sample_rows texts (bounded_sample)."""
     common = common_words(df, text_col)
-    sample = [r[0] for r in df.filter(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).select(text_col).collect()]
+    sample = sorted(r[0] for r in bounded_sample(df.filter(F.col(text_col).isNotNull()).select(id_col, text_col), id_col, sample_rows).select(text_col).collect())
     data = training_windows(sample, Reader(common), label)
     full, empty = [d for d in data if any(d[1])], [d for d in data if not any(d[1])]
     r = np.random.default_rng(11)
@@ -578,4 +622,4 @@ def find_mentions(df: DataFrame, text_col: str, finder: Finder) -> DataFrame:
             yield pd.DataFrame(rows, columns=out.names)
 
     d = df.withColumn("_m", run(F.col(text_col)))
-    return d.select(*[F.col(f"`{c}`") for c in df.columns], "_m.mentions", "_m.redacted")
+    return d.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("mentions", "redacted")], "_m.mentions", "_m.redacted")
