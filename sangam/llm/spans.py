@@ -11,7 +11,7 @@ An anchor with very many occurrences (a recurring footer) is split: every window
 becomes a key of its own (128-bit digest), so only documents that share a whole window meet.
 
 Defined results: null and short texts share nothing; a repetition inside one document is none; rows of one doc_id and
-equal text count once; texts are used whole, line breaks and blanks included.
+equal text count once (copies add nothing to pairs or cover); texts are used whole, line breaks and blanks included.
 """
 
 from __future__ import annotations
@@ -147,7 +147,7 @@ def shared_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     overlapping parts. cover False is enough for pairs: a span that recurs in one document is then placed once."""
     gram = gram or length // 2
     reach = length - gram
-    d = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).filter(F.length("text") >= length).distinct()
+    d = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).filter(F.length("text") >= length)
     marks = StructType([StructField("doc", LongType()), StructField("pos", LongType()), StructField("h", LongType())])
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
