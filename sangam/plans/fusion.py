@@ -707,3 +707,89 @@ def zone_marker_layout(spark, d):
 def incident_titles(spark, d):
     i = table(spark, d, "incidents").select("id", "urgency", "location_resolved").distinct()
     return i.select("id", F.concat(F.coalesce(F.expr("nullif(urgency, '')"), F.lit("unscored")), F.lit(" — "), F.coalesce(F.expr("nullif(location_resolved, '')"), F.lit("Rampur"))).alias("title"))
+
+
+# ---- further sources, sinks and grouped results
+
+
+@query("links_append_once", "SELECT DISTINCT incident_id, report_id FROM incident_reports a WHERE match_score IS NULL AND NOT EXISTS (SELECT 1 FROM incident_reports b WHERE b.match_score IS NOT NULL AND b.incident_id = a.incident_id AND b.report_id = a.report_id)")
+def links_append_once(spark, d):
+    """Links that an idempotent append would add to those that are scored: each key once, none that is there."""
+    l = table(spark, d, "incident_reports")
+    return l.filter("match_score is null").select("incident_id", "report_id").distinct().join(l.filter("match_score is not null"), ["incident_id", "report_id"], "left_anti")
+
+
+@query("next_incident_number", "WITH n AS (SELECT DISTINCT TRY_CAST(regexp_extract(id, '(\\d+)$', 1) AS BIGINT) AS n FROM incidents) SELECT min(n + 1) AS next FROM n WHERE n IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n b WHERE b.n = n.n + 1)".replace("\\\\", "\\"))
+def next_incident_number(spark, d):
+    n = table(spark, d, "incidents").select(F.regexp_extract("id", r"(\d+)$", 1).try_cast("bigint").alias("n")).dropna().distinct()
+    return n.select((F.col("n") + 1).alias("n")).join(n, "n", "left_anti").agg(F.min("n").alias("next"))
+
+
+@query("assessment_update", f"{_FACTS} SELECT i.id, round(coalesce(z.conf, i.confidence), 6) AS confidence, z.incident_id IS NOT NULL AS updated FROM (SELECT DISTINCT id, confidence FROM incidents) i LEFT JOIN z ON z.incident_id = i.id")
+def assessment_update(spark, d):
+    i = table(spark, d, "incidents").select("id", "confidence").distinct()
+    a = assessed(spark, d).select("incident_id", "conf")
+    return i.join(a, F.col("id") == F.col("incident_id"), "left").select("id", F.round(F.coalesce("conf", "confidence"), 6).alias("confidence"), F.col("incident_id").isNotNull().alias("updated"))
+
+
+@query("contradictions_all", f"""WITH {_CLAIMS}, l AS (SELECT incident_id, count(DISTINCT place) AS p FROM (SELECT incident_id, lower(trim(location_resolved, ' ')) AS place FROM m JOIN (SELECT DISTINCT id, location_resolved FROM reports WHERE trim(location_resolved, ' ') <> '') USING (id)) GROUP BY 1)
+SELECT incident_id, 'numeric' AS kind, count(*) AS n FROM (SELECT a.incident_id FROM k a JOIN k b ON a.incident_id = b.incident_id AND a.category = b.category AND a.high < b.low) GROUP BY 1
+UNION ALL SELECT incident_id, 'location', p * (p - 1) // 2 FROM l WHERE p > 1""")
+def contradictions_all(spark, d):
+    """Disagreeing pairs of claim classes per incident and kind, with deterministic kinds."""
+    n = contradiction_numeric(spark, d).groupBy("incident_id").agg(F.count("*").alias("n")).select("incident_id", F.lit("numeric").alias("kind"), "n")
+    l = place_classes(spark, d).groupBy("incident_id").agg(F.count("*").alias("p")).filter("p > 1").select("incident_id", F.lit("location").alias("kind"), F.expr("p * (p - 1) div 2").alias("n"))
+    return n.union(l)
+
+
+@query("note_carryover", """SELECT i.id, a.notes FROM (SELECT DISTINCT id FROM incidents) i LEFT JOIN (SELECT incident_id, arg_max(notes, struct_pack(t := timestamp_utc, i := id)) AS notes FROM audit_logs WHERE notes <> '' GROUP BY 1) a ON a.incident_id = i.id""")
+def note_carryover(spark, d):
+    """The latest note of each incident, carried to its current version; incidents without one keep null."""
+    a = table(spark, d, "audit_logs").filter("notes <> ''").groupBy("incident_id").agg(F.max_by("notes", F.struct("timestamp_utc", "id")).alias("notes"))
+    return table(spark, d, "incidents").select("id").distinct().join(a, F.col("id") == F.col("incident_id"), "left").select("id", "notes")
+
+
+@query("extraction_display", """SELECT DISTINCT id, CASE WHEN NOT json_valid(value) THEN value WHEN value ->> '$.count' IS NOT NULL THEN concat(value ->> '$.count', ' ', coalesce(value ->> '$.category', 'people'))
+ WHEN value ->> '$.count_min' IS NOT NULL THEN concat(value ->> '$.count_min', '-', value ->> '$.count_max', ' ', coalesce(value ->> '$.category', 'people')) ELSE replace(value ->> '$', '_', ' ') END AS shown FROM extractions WHERE field_name <> 'location_raw'""")
+def extraction_display(spark, d):
+    j = lambda p: F.get_json_object("value", p)
+    cat = F.coalesce(j("$.category"), F.lit("people"))
+    shown = F.when(F.try_parse_json(F.col("value")).isNull(), F.col("value")).when(j("$.count").isNotNull(), F.concat(j("$.count"), F.lit(" "), cat)).when(j("$.count_min").isNotNull(), F.concat(j("$.count_min"), F.lit("-"), j("$.count_max"), F.lit(" "), cat)).otherwise(F.replace(decoded(), F.lit("_"), F.lit(" ")))
+    return table(spark, d, "extractions").filter("field_name <> 'location_raw'").select("id", shown.alias("shown")).distinct()
+
+
+@query("extract_location")
+def extract_location(spark, d):
+    """Raw place phrases by wording: what stands behind near or at, or before mein, pe or ke paas."""
+    t = F.col("t")
+    got = [F.regexp_extract_all(t, F.lit(rf"(?iu){p}"), F.lit(1)) for p in (r"\bnear\s+([\p{L}\p{N}_\s]+?)(?:\s+area|\s+thana|\s+police\s+station|\.|,|$)", r"\bat\s+([\p{L}\p{N}_\s]+?)(?:\s+area|\s+intersection|\.|,|$)", r"([\p{L}\p{N}_\s]+?)\s+(?:mein|pe|ke\s+paas)")]
+    phrases = F.array_distinct(F.filter(F.transform(F.flatten(F.array(*got)), lambda x: F.trim(x)), lambda x: F.length(x) >= 3))
+    return texts(spark, d).select("id", F.posexplode(phrases).alias("ord", "phrase"))
+
+
+@query("gazetteer_fuzzy")
+def gazetteer_fuzzy(spark, d, least: float = 0.75, apart: float = 0.05):
+    """Distinct phrases without an exact place -> the place of highest ratio, null where the second best is too near.
+
+    Phrases meet only targets of which they share a word prefix of three letters or a like-sounding start (blocking on the
+    three first letters of any word), so no phrase is compared with the whole list."""
+    from sangam.operators.vectors import ratio
+
+    starts = lambda c: F.array_distinct(F.transform(F.split(F.col(c), " "), lambda w: F.substring(w, 1, 3)))
+    e = extraction_decode(spark, d).select(phrase(F.col("place")).alias("phrase")).filter("phrase <> ''").distinct()
+    t = targets(spark, d).select("location_id", "p").distinct()
+    e = e.join(t.select(F.col("p").alias("phrase")), "phrase", "left_anti").select("phrase", F.explode(starts("phrase")).alias("start"))
+    t = t.select("location_id", "p", F.explode(starts("p")).alias("start"))
+    s = e.join(t, "start").select("phrase", "location_id", "p").distinct().withColumn("score", ratio(F.col("phrase"), F.col("p")))
+    best = s.groupBy("phrase", "location_id").agg(F.max("score").alias("score")).filter(F.col("score") >= least)
+    top = best.groupBy("phrase").agg(F.max(F.struct("score", "location_id")).alias("m"), F.count("*").alias("candidates"))
+    near = best.join(top.select("phrase", F.col("m.score").alias("top")), "phrase").filter(F.col("score") >= F.col("top") - apart).groupBy("phrase").agg(F.count("*").alias("rivals"))
+    return top.join(near, "phrase").select("phrase", F.when(F.col("rivals") == 1, F.col("m.location_id")).alias("location_id"), F.round("m.score", 4).alias("score"), "candidates")
+
+
+@query("embed_reports")
+def embed_reports(spark, d):
+    """A unit vector for every report's normalised text, by the offline embedder."""
+    from sangam.operators.vectors import embed
+
+    return texts(spark, d).select("id", embed("t").alias("embedding"))
