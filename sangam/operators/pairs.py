@@ -1,4 +1,4 @@
-"""Report pairs: exact blocking in space and time, and the factors of a pair's score.
+"""Report pairs: exact blocking in space and time or by the least score, and the factors of a pair's score.
 
 A report lies in one cell of a grid over (x, y, z, time); the other side of a pair is copied into every cell its ball of
 `reach_m` metres and `reach_min` minutes touches (two per axis at most, as cells are twice as wide). So each pair within
@@ -6,6 +6,7 @@ reach meets exactly once, in an equi-join; no pair beyond the neighbouring cells
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,3 +63,79 @@ def near_pairs(reports: DataFrame, reach_m: float = REACH_M, reach_min: float =
     p = a.join(b, cells).filter("id_a < id_b").drop(*cells)
     p = p.withColumn("distance_m", haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))).withColumn("minutes", F.abs(F.unix_micros("at_a") - F.unix_micros("at_b")) / 6e7)
     return p.filter((F.col("distance_m") <= reach_m) & (F.col("minutes") <= reach_min))
+
+
+def similar_vectors(vectors: DataFrame, least: float, block: int = 2048) -> DataFrame:
+    """(va, vb) of all vectors (v, e) whose cosine is at least `least` > 0, both ways and with themselves: every block meets
+    every block as matrices. The bound is taken 1e-6 lower, as the product of matrices adds in another order than cosine()."""
+    import numpy as np
+
+    d = vectors.filter("e is not null and size(e) > 0").select("v", "e", F.size("e").alias("width"))
+    n = d.count() // block + 1
+    at, every = F.pmod(F.xxhash64("v"), F.lit(n)), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    both = d.select("v", "e", "width", at.alias("ab"), every.alias("bb"), F.lit(True).alias("left")).union(d.select("v", "e", "width", every.alias("ab"), at.alias("bb"), F.lit(False).alias("left")).select("v", "e", "width", "ab", "bb", "left"))
+    kind = vectors.schema["v"].dataType.simpleString()
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["left"]], pdf[~pdf["left"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"va": pdf["v"][:0], "vb": pdf["v"][:0]})
+        x, y = (np.stack(p["e"].to_list()).astype(float) for p in (a, b))
+        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
+        i, j = np.nonzero(x @ y.T >= least - 1e-6)
+        return pd.DataFrame({"va": a["v"].to_numpy()[i], "vb": b["v"].to_numpy()[j]})
+
+    return both.groupBy("ab", "bb", "width").applyInPandas(work, f"va {kind}, vb {kind}")
+
+
+def linked_pairs(reports: DataFrame, vectors: DataFrame, least: float = 0.6) -> DataFrame:
+    """All pairs id_a < id_b of reports (id, place, lat, lon, at, kind, v) whose score is at least `least`, with sem, geo, tmp,
+    typ and score. A missing factor scores 0 and removes no report. vectors: (v, e).
+
+    Candidates follow from what a pair that reaches `least` must have:
+    near (within reach or at the same place) and within FAR_MIN of each other: nothing else;
+    near only: a cosine of at least (least - geo - typ) / sem, the weight of typ only where both have a type;
+    not near: FAR_MIN and an equal or related type, as neither alone is enough."""
+    w = WEIGHTS
+    if not max(w["geographic"] + w["incident_type"], w["semantic"] + max(w["temporal"], w["incident_type"])) < least <= 1:
+        raise ValueError("the bounds of the candidates hold for least in (0.55, 1] only")
+    untyped, typed = ((least - w["geographic"] - x) / w["semantic"] for x in (0, w["incident_type"]))
+    ok = valid_position(F.col("lat"), F.col("lon"))
+    kind = F.nullif(F.lower(F.trim("kind")), F.lit(""))
+    d = reports.select("id", F.nullif(F.col("place"), F.lit("")).alias("place"), F.when(ok, F.col("lat")).alias("lat"), F.when(ok, F.col("lon")).alias("lon"), F.unix_micros("at").alias("us"), kind.alias("kind"), "v")
+    cols = d.columns
+    la, lo = F.radians("lat"), F.radians("lon")
+    axes = {"x": F.cos(la) * F.cos(lo) * EARTH_M, "y": F.cos(la) * F.sin(lo) * EARTH_M, "z": F.sin(la) * EARTH_M}
+
+    def cells(v: Column, reach: float, wide: bool) -> Column:
+        at = lambda x: F.floor(x / (2 * reach)).cast("bigint")
+        r = reach * 1.000001 + 1e-6
+        return F.explode(F.sequence(at(v - r), at(v + r))) if wide else at(v)
+
+    def spots(wide: bool) -> DataFrame:
+        near = d.filter("lat is not null")
+        s = near
+        for k, v in axes.items():
+            s = s.withColumn(f"c{k}", cells(v, REACH_M, wide))
+        return s.select(*cols, F.concat_ws("/", "cx", "cy", "cz").alias("spot")).union(near.filter("place is not null").select(*cols, F.concat(F.lit("@"), "place").alias("spot")))
+
+    def side(x: DataFrame, s: str, *keys: str) -> DataFrame:
+        return x.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in cols])
+
+    minute = lambda x, wide: x.filter("us is not null").withColumn("ct", cells(F.col("us") / 6e7, FAR_MIN, wide))
+    both = [f"{c}_{s}" for s in "ab" for c in cols]
+    a, b = spots(False), spots(True)
+    soon = side(minute(a, False), "a", "spot", "ct").join(side(minute(b, True), "b", "spot", "ct"), ["spot", "ct"]).filter("id_a < id_b")
+    alike = similar_vectors(vectors, typed)
+    alike = alike.join(vectors.select(F.col("v").alias("va"), F.col("e").alias("ea")), "va").join(vectors.select(F.col("v").alias("vb"), F.col("e").alias("eb")), "vb")
+    alike = alike.select(F.col("va").alias("v_a"), F.col("vb").alias("v_b"), (cosine(F.col("ea"), F.col("eb")) >= untyped - 1e-6).alias("alone"))
+    late = side(a, "a", "spot").join(alike, "v_a").join(side(b, "b", "spot"), ["spot", "v_b"]).filter("id_a < id_b and (alone or (kind_a is not null and kind_b is not null))")
+    links = F.create_map(*[x for k in sorted({k for p in RELATED_TYPES for k in p}) for x in (F.lit(k), F.array(*[F.lit(o) for p in RELATED_TYPES if k in p for o in p if o != k]))])
+    own = d.filter("kind is not null")
+    far = side(minute(own, False).withColumn("as", F.col("kind")), "a", "as", "ct").join(side(minute(own, True).withColumn("as", F.explode(F.concat(F.array("kind"), F.coalesce(F.try_element_at(links, F.col("kind")), F.array().cast("array<string>"))))), "b", "as", "ct"), ["as", "ct"]).filter("id_a < id_b")
+    p = soon.select(both).union(late.select(both)).union(far.select(both)).distinct()
+    same = (F.col("place_a") == F.col("place_b")) & F.col("lat_a").isNotNull() & F.col("lat_b").isNotNull()
+    p = p.withColumn("geo", geo_score(haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), same)).withColumn("tmp", temporal_score(F.abs(F.col("us_a") - F.col("us_b")) / 6e7)).withColumn("typ", type_score(F.col("kind_a"), F.col("kind_b")))
+    p = p.join(vectors.select(F.col("v").alias("v_a"), F.col("e").alias("ea")), "v_a", "left").join(vectors.select(F.col("v").alias("v_b"), F.col("e").alias("eb")), "v_b", "left").withColumn("sem", cosine(F.col("ea"), F.col("eb")))
+    p = p.withColumn("score", F.round(match_score(*map(F.col, ("sem", "geo", "tmp", "typ"))), 9))
+    return p.filter(F.col("score") >= least).select("id_a", "id_b", "sem", "geo", "tmp", "typ", "score")

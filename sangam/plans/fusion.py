@@ -418,11 +418,23 @@ def match_score_bands(spark, d):
 # ---- F: clusters
 
 
+def linked(spark, d) -> DataFrame:
+    """All pairs of reports that score at least 0.6; a missing factor scores 0 and removes no report."""
+    from sangam.session import durable
+
+    kind = table(spark, d, "extractions").filter("field_name = 'incident_type'").select(F.col("report_id").alias("id"), decoded().alias("kind")).groupBy("id").agg(F.max("kind").alias("kind"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").cast("array<double>").alias("e")).distinct()
+    vec = F.substring("id", 2, 20).try_cast("bigint") % e.count()
+    r = reports(spark, d, "id", "location_resolved", "location_lat", "location_lon", "received_at_utc")
+    r = r.select("id", F.col("location_resolved").alias("place"), F.col("location_lat").alias("lat"), F.col("location_lon").alias("lon"), F.col("received_at_utc").alias("at"), vec.alias("v"))
+    return E.linked_pairs(durable(r.join(kind, "id", "left"), "linked"), e, 0.6)
+
+
 def clustered(spark, d, merge: float = 0.8):
     from sangam.operators.cluster import cluster
     from sangam.session import durable
 
-    pairs = durable(matched(spark, d).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.round("score", 9).alias("score")).filter("score >= 0.6"), "pairs")
+    pairs = durable(linked(spark, d).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "score"), "pairs")
     return cluster(reports(spark, d, "id"), pairs, merge), pairs
 
 
