@@ -419,14 +419,18 @@ def match_score_bands(spark, d):
 
 
 def linked(spark, d) -> DataFrame:
-    """All pairs of reports that score at least 0.6; a missing factor scores 0 and removes no report."""
+    """All pairs of reports that score at least 0.6. No report is left out: a null location falls back to the GPS position,
+    a null received_at_utc to the one instant received_at reads as, and a factor that is still missing scores 0."""
+    from sangam.operators.timestamps import normalise_timestamps
+    from sangam.plans.problems import channel
     from sangam.session import durable
 
     kind = table(spark, d, "extractions").filter("field_name = 'incident_type'").select(F.col("report_id").alias("id"), decoded().alias("kind")).groupBy("id").agg(F.max("kind").alias("kind"))
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").cast("array<double>").alias("e")).distinct()
     vec = F.substring("id", 2, 20).try_cast("bigint") % e.count()
-    r = reports(spark, d, "id", "location_resolved", "location_lat", "location_lon", "received_at_utc")
-    r = r.select("id", F.col("location_resolved").alias("place"), F.col("location_lat").alias("lat"), F.col("location_lon").alias("lon"), F.col("received_at_utc").alias("at"), vec.alias("v"))
+    r = reports(spark, d, "id", "source", "location_resolved", "location_lat", "location_lon", "gps_lat", "gps_lon", "received_at", "received_at_utc")
+    r = normalise_timestamps(r, "received_at", channel(), day_first=True, default_zone="Asia/Kolkata").withColumn("at", F.coalesce("received_at_utc", F.timestamp_micros("utc_us")))
+    r = r.select("id", F.col("location_resolved").alias("place"), F.coalesce("location_lat", "gps_lat").alias("lat"), F.coalesce("location_lon", "gps_lon").alias("lon"), "at", vec.alias("v"))
     return E.linked_pairs(durable(r.join(kind, "id", "left"), "linked"), e, 0.6)
 
 

@@ -47,7 +47,7 @@ def test_linked_pairs_against_all_pairs(spark):
 
 @pytest.fixture()
 def folder(spark, tmp_path):
-    """R1 and R2: one place, three hours apart. R5 and R6: 5 km, one minute. R7: nothing."""
+    """R1 and R2: one place, three hours apart. R3 and R4: no time stored, no location but GPS. R5 and R6: 5 km, one minute. R7: nothing."""
     ist = lambda m: f"2025-08-01T10:{m:02d}:00+05:30"
     rows = [
         ("R1", "sms", "tola", 28.6, 78.9, None, None, None, T0), ("R2", "sms", "tola", 28.6, 78.9, None, None, None, T0 + timedelta(hours=3)),
@@ -64,6 +64,6 @@ def folder(spark, tmp_path):
 
 def test_clusters_join_pairs_out_of_reach_on_one_axis(spark, folder):
     founder = {r["id"]: r["founder"] for r in fusion.cluster_reports(spark, folder).collect()}
-    assert founder == {"R1": "R1", "R2": "R1", "R3": "R3", "R4": "R4", "R5": "R5", "R6": "R6", "R7": "R7"}
+    assert founder == {"R1": "R1", "R2": "R1", "R3": "R3", "R4": "R3", "R5": "R5", "R6": "R6", "R7": "R7"}
     related = {(r["cluster_a"], r["cluster_b"]): r["score"] for r in fusion.related_clusters(spark, folder).collect()}
     assert related == {("R5", "R6"): pytest.approx(0.7)}
