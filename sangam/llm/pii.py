@@ -551,10 +551,17 @@ def settle(t: str, found: list[tuple[int, int, str]], common: set[str] = frozens
 # ---- Spark
 
 def common_words(df: DataFrame, text_col: str, least_share: float = 0.0006, least: int = 4, most: int = 50_000) -> set[str]:
-    """Words of at least `least_share` as many occurrences as there are texts, counted over all texts; their number is
+    """Words of at least `least_share` as many occurrences as there are distinct texts, counted over all of them, names in name
+    wordings left out: neither copies of a text nor a name that is often given make its words common. Their number is
     bounded by words per text / least_share, and an error is raised beyond `most`."""
-    n = df.count()
-    words = df.select(F.explode(F.split(F.lower(text_col), r"[^\p{L}\p{M}]+")).alias("w")).filter("w <> ''")
+    texts = df.select(F.lower(text_col).alias("t")).distinct()
+    n = texts.count()
+    other = F.col("t")
+    for p in PERSON_WORDINGS:
+        # the two or three words that the wording's group holds, not the words that lead to them
+        names = F.regexp_extract_all(F.col("t"), F.lit(f"(?U){p}"), F.lit(1))
+        other = F.aggregate(names, other, lambda s, name: F.regexp_replace(s, F.concat(F.lit(r"(?U)\b\Q"), name, F.lit(r"\E\b")), F.lit(" ")))
+    words = texts.select(F.explode(F.split(other, r"[^\p{L}\p{M}]+")).alias("w")).filter("w <> ''")
     rows = words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= max(least, least_share * n)).select("w").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} common words: raise least_share")
