@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
@@ -56,3 +56,37 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def ratio(a: Column, b: Column) -> Column:
     """The larger of the ratio of two phrases and that of their words in order."""
     return _ratio(a, b)
+
+
+def ratios(df: DataFrame, text: str, names: list[tuple[str, str]], least: float) -> DataFrame:
+    """(text, location_id, score) of all texts and (location_id, name) whose ratio() is at least `least`. A pair is passed over
+    only where its lengths or its letters in common, which no common subsequence can exceed, rule the ratio out."""
+    from collections import Counter
+
+    import numpy as np
+
+    shared = df.sparkSession.sparkContext.broadcast(names)
+
+    def work(batches):
+        names = shared.value
+        place = {c: k for k, c in enumerate(sorted({c for _, n in names for c in n}))}
+        letters = np.zeros((len(names), len(place)), np.int16)
+        for i, (_, n) in enumerate(names):
+            for c, k in Counter(n).items():
+                letters[i, place[c]] = k
+        size = np.array([len(n) for _, n in names])
+        ordered = [" ".join(sorted(n.split())) for _, n in names]
+        for batch in batches:
+            out = []
+            for x in batch[text]:
+                counts = Counter(c for c in x if c in place)
+                at = [place[c] for c in counts]
+                common = np.minimum(letters[:, at], np.array(list(counts.values()), np.int16)).sum(1)
+                y = " ".join(sorted(x.split()))
+                for i in np.flatnonzero(2 * common >= (least - 1e-9) * (size + len(x))):
+                    s = max(indel_ratio(x, names[i][1]), indel_ratio(y, ordered[i]))
+                    if s >= least:
+                        out.append((x, names[i][0], s))
+            yield pd.DataFrame(out, columns=[text, "location_id", "score"])
+
+    return df.select(text).mapInPandas(work, f"{text} string, location_id string, score double")

@@ -787,16 +787,16 @@ def extract_location(spark, d):
 def gazetteer_fuzzy(spark, d, least: float = 0.75, apart: float = 0.05):
     """Distinct phrases without an exact place -> the place of highest ratio, null where the second best is too near.
 
-    Phrases meet only targets of which they share a word prefix of three letters or a like-sounding start (blocking on the
-    three first letters of any word), so no phrase is compared with the whole list."""
-    from sangam.operators.vectors import ratio
+    Every phrase is compared with every target: the gazetteer travels with the tasks (error beyond 100,000 targets)."""
+    from sangam.operators.vectors import ratios
 
-    starts = lambda c: F.array_distinct(F.transform(F.split(F.col(c), " "), lambda w: F.substring(w, 1, 3)))
     e = extraction_decode(spark, d).select(phrase(F.col("place")).alias("phrase")).filter("phrase <> ''").distinct()
     t = targets(spark, d).select("location_id", "p").distinct()
-    e = e.join(t.select(F.col("p").alias("phrase")), "phrase", "left_anti").select("phrase", F.explode(starts("phrase")).alias("start"))
-    t = t.select("location_id", "p", F.explode(starts("p")).alias("start"))
-    s = e.join(t, "start").select("phrase", "location_id", "p").distinct().withColumn("score", ratio(F.col("phrase"), F.col("p")))
+    e = e.join(t.select(F.col("p").alias("phrase")), "phrase", "left_anti")
+    names = [tuple(r) for r in t.filter("p is not null").orderBy("location_id", "p").limit(100_001).collect()]
+    if len(names) > 100_000:
+        raise ValueError("more than 100,000 targets")
+    s = ratios(e.repartition("phrase"), "phrase", names, least)
     best = s.groupBy("phrase", "location_id").agg(F.max("score").alias("score")).filter(F.col("score") >= least)
     top = best.groupBy("phrase").agg(F.max(F.struct("score", "location_id")).alias("m"), F.count("*").alias("candidates"))
     near = best.join(top.select("phrase", F.col("m.score").alias("top")), "phrase").filter(F.col("score") >= F.col("top") - apart).groupBy("phrase").agg(F.count("*").alias("rivals"))
