@@ -1,14 +1,15 @@
 """Personal information in free text: found by a character BiLSTM with a CRF, replaced by typed placeholders.
 
 Texts are read as characters in one form (look-alikes, widths, digits of any script, case); invisible characters are
-skipped. Letters of words that are rare in the corpus are read as three rare marks, so a name is known by what stands
-around it, and windows of different texts become equal: each worker decodes equal windows once.
+skipped. Letters of words that are rare in the corpus are read as three rare marks, so windows of different texts become
+equal: each worker decodes equal windows once. Rarity is only how a word is read; it decides nothing, and names of
+frequent words are learned as such.
 
 A window is a sentence, or an overlapping part of a long one; scores of overlapping windows are averaged and the whole
-sentence is decoded by one Viterbi pass over the CRF, so no seam cuts a mention. The network is trained in numpy on a
-bounded sample of texts with labelled spans. Here the labels come from `weak_spans` (wordings of the domain, high
-precision); any labelled spans of the same shape serve. After decoding, an exact check settles where a mention of the
-kind starts and ends and drops what can't be one.
+sentence is decoded by one Viterbi pass over the CRF, so no seam cuts a mention. The network is trained in numpy on
+labelled spans: generated sentences with exact spans and a bounded sample of texts (pii_labels). Its gates are piecewise
+linear, which numpy computes far faster than tanh. The decoded path alone says where a mention starts and ends and of
+what kind it is; bounds are widened to whole words, and `fits` rejects what can't be of the kind (a phone of four digits).
 
 Defined results: null and empty texts have no mentions; text outside mentions is returned byte for byte; repeated rows
 give repeated results; texts are read whole; columns named like a result are replaced.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -77,44 +79,9 @@ def visible(t: str) -> tuple[str, list[int] | None]:
     return "".join(t[i] for i in kept), kept
 
 
-_NAME = r"[^\W\d_][^\W\d_ऀ-ः़-ॏ]*(?:[ऀ-ः़-ॏ]+[^\W\d_]*)*"
-_TWO = rf"({_NAME} {_NAME})"
-# Wordings around names of people, numbers of people and home addresses.
-PERSON_WORDINGS = [
-    rf"\b(?:ask for|contact person:|my name is|(?:missing )?(?:man|woman|boy|girl|child|person) is called|regards,|thanks,|mr\.?|mrs\.?|ms\.?|dr\.?|shri|smt\.?|signed,?) {_TWO}",
-    rf"\bmera naam {_TWO} hai\b", rf"\b{_TWO} naam k[aie] \w+", rf"\bgate par (?:shri |smt\.? )?{_TWO} ji\b", rf"मेरा नाम {_TWO} ह", rf"{_TWO} नाम क[ाीे] ", rf"(?:श्री|श्रीमती|डॉ\.?) {_TWO} ", rf"\bregards\W+{_TWO}", rf"(?:सादर|धन्यवाद)\W+{_TWO}",
-]
-EMAIL = re.compile(r"[a-z0-9](?:[\w.+%-]*[\w+%-])?(?:\s?@|\s?\[at\]|\s?\(at\)| at (?=\S+ dot ))\s?[a-z0-9-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?| dot )[a-z0-9-]+)+")
-PHONE = re.compile(r"(?<![\w/.+-])(?:(?:\+|00)91[\s.-]{0,2}|0(?=\d{10}\b))?(?:\(\d{3,5}\)[\s-]?\d{5,8}|\d{5}[\s.-]\d{5}|\d{3,4}[\s.-]\d{3}[\s.-]\d{4}|\d{10})(?![\w/]|[-.]\d)")
-LONG_PHONE = re.compile(r"(?<![\w/.+-])(?:\+|00)91[\s.-]{0,2}\(?\d(?:[\s.()-]{0,2}\d){9}(?!\w)")
-ID_NUMBER = re.compile(r"(?<![\w/.+-])(?:\d{4}[\s-]\d{4}[\s-]\d{4}|\d{12}|[a-z]{5}\d{4}[a-z]|[a-z]{3}\d{7})(?![\w/]|[-.]\d)")
-_ROADS = r"(?:road|street|marg|nagar|colony|lane|apartments?|vihar|enclave|रोड|मार्ग|नगर|कॉलोनी|अपार्टमेंट|सड़क|गली)"
-ADDRESS = re.compile(
-    r"(?<![\w/])(?:(?:h\.\s?no\.?|house no\.?|house|flat(?: no\.?)?|plot no\.?|plot|ghar no\.?|makaan no\.?|makan no\.?|ghar number|makaan number|quarter no\.?|मकान नंबर|मकान|घर नंबर|घर संख्या|फ़्लैट(?: नंबर)?|फ्लैट(?: नंबर)?|प्लॉट(?: नंबर)?)\s?\d{1,4}(?:/[\da-z]+)?|\d{1,4}(?:/[\da-z]{1,3})?)"
-    rf"(?:,? (?:sector|lane|gali|block|सेक्टर|गली|ब्लॉक|लेन) ?\d{{1,3}})?(?:,? {_NAME} {_ROADS}\b(?:,? {_NAME} {_ROADS}\b)?)"
-)
-_ADDRESS_CUES = re.compile(r"(?:address:|ghar ka pata|parents stay at|the house is|deliver the medicine to|dawai|घर का पता|दवा)\s*$")
-
-
-def weak_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) by wordings: labels for training."""
-    t, stood = visible(one_form(text))
-    out = [(m.start(), m.end(), "email") for m in EMAIL.finditer(t) ]
-    for pattern, kind in ((ID_NUMBER, "id_number"), (LONG_PHONE, "phone"), (PHONE, "phone")):
-        out += [(m.start(), m.end(), kind) for m in pattern.finditer(t)]
-    out += [(m.start(), m.end(), "address") for m in ADDRESS.finditer(t) if not m.group()[0].isdigit() or _ADDRESS_CUES.search(t[: m.start()])]
-    for p in PERSON_WORDINGS:
-        out += [(*m.span(1), "person") for m in re.finditer(p, t)]
-    out.sort(key=lambda s: (s[0], -s[1]))
-    kept: list[tuple[int, int, str]] = []
-    for s in out:
-        if not kept or s[0] >= kept[-1][1]:
-            kept.append(s)
-    return kept if stood is None else [(stood[a], stood[b - 1] + 1, k) for a, b, k in kept]
-
-
 # ---- characters as the network sees them
 
+_NAME = r"[^\W\d_][^\W\d_ऀ-ः़-ॏ]*(?:[ऀ-ः़-ॏ]+[^\W\d_]*)*"
 _CHARS = "abcdefghijklmnopqrstuvwxyz .,:;!?()[]/+-@#&'\"\n_%" + "".join(map(chr, range(0x900, 0x980)))
 _ID = {c: i + 5 for i, c in enumerate(_CHARS)}
 OTHER, DIGIT, RARE, RARE_HI, CODE = range(5)
@@ -126,11 +93,11 @@ _NO_END = {"no", "h.no", "h", "mr", "mrs", "ms", "dr", "smt", "opp", "moh", "col
 
 
 class Reader:
-    """Texts to network characters: ids and the position each stands for."""
+    """Texts to network characters, one byte each."""
 
     def __init__(self, common: set[str]):
         self.common = common
-        self.words: dict[str, tuple[list[int], list[int]]] = {}
+        self.words: dict[str, bytes] = {}
 
     def _word(self, w: str) -> tuple[list[int], list[int]]:
         """Ids of one token and their places in it."""
@@ -141,6 +108,8 @@ class Reader:
             return ([], []) if first in _SKIP else ([_ID.get(first, OTHER)], [0])
         if w.isdigit():
             return [DIGIT] * len(w), list(range(len(w)))
+        if w.isascii() and w.isalpha() and w not in self.common:
+            return [RARE] * 3, [0, 0, len(w) - 1]
         kept = [i for i, c in enumerate(w) if c not in _SKIP]
         plain = "".join(w[i] for i in kept)
         if plain in self.common:
@@ -152,20 +121,28 @@ class Reader:
         mark = RARE_HI if "ऀ" <= plain[0] <= "ॿ" else RARE
         return [mark] * 3, [kept[0], kept[0], kept[-1]]
 
-    def read(self, t: str) -> tuple[list[int], list[int]]:
-        ids: list[int] = []
-        pos: list[int] = []
-        at, words = 0, self.words
+    def read(self, t: str) -> bytes:
+        tokens, words = _TOKEN.findall(t), self.words
+        try:
+            return b"".join([words[w] for w in tokens])
+        except KeyError:
+            if len(words) > 300_000:
+                words.clear()
+            for w in tokens:
+                if w not in words:
+                    words[w] = bytes(self._word(w)[0])
+            return b"".join([words[w] for w in tokens])
+
+    def places(self, t: str) -> tuple[list[int], list[int], list[int]]:
+        """For each character of read(t): its place in t, and the start and end of its token."""
+        pos, starts, ends, at = [], [], [], 0
         for w in _TOKEN.findall(t):
-            got = words.get(w)
-            if got is None:
-                if len(words) > 300_000:
-                    words.clear()
-                got = words[w] = self._word(w)
-            ids += got[0]
-            pos += [at + i for i in got[1]]
+            own = self._word(w)[1]
+            pos += [at + i for i in own]
+            starts += [at + own[0]] * len(own) if own else []
+            ends += [at + own[-1] + 1] * len(own) if own else []
             at += len(w)
-        return ids, pos
+        return pos, starts, ends
 
 
 _CLAUSE = re.compile(rf",\s+(?=({_NAME})(?!\s*\d))")
@@ -194,10 +171,6 @@ def split_sentences(t: str, common: set[str] = frozenset()) -> list[tuple[int, i
 
 # ---- network
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
 class Tagger:
     """Character embeddings -> LSTM in both directions -> scores of tags -> linear-chain CRF. All in numpy."""
 
@@ -221,96 +194,115 @@ class Tagger:
         self.allowed = ok
         self.first_ok = np.array([t[0] != "I" for t in TAGS])
 
-    def _lstm(self, x, mask, d, keep):
-        """x: [T, B] ids in reading order of the direction; returns hidden states [T, B, H]."""
+    def _line(self):
+        """Slope, offset and lower bound of the gates in, forget, new, out: z / 4 + 1 / 2 cut to [0, 1]; new: z cut to [-1, 1]."""
         h = self.h
-        table = self.p["emb"] @ self.p[f"wx{d}"] + self.p[f"b{d}"]
-        wh = self.p[f"wh{d}"]
-        n, b = x.shape
-        hs, cs = np.zeros((n + 1, b, h), np.float32), np.zeros((n + 1, b, h), np.float32)
-        gates = np.empty((n, b, 4 * h), np.float32) if keep else None
+        slope, offset, low = np.full(4 * h, 0.25, np.float32), np.full(4 * h, 0.5, np.float32), np.zeros(4 * h, np.float32)
+        new = slice(2 * h, 3 * h)
+        slope[new], offset[new], low[new] = 1, 0, -1
+        return slope, offset, low
+
+    def _scaled(self, d):
+        """Input table and recurrent weights with the gates' line folded in."""
+        slope, offset, low = self._line()
+        return (self.p["emb"] @ self.p[f"wx{d}"] + self.p[f"b{d}"]) * slope + offset, self.p[f"wh{d}"] * slope, low
+
+    def _lstm(self, x, mask):
+        """x: [T, 2, B] ids, each direction in its reading order; hidden and cell states [T + 1, 2, B, H], gates, and where they are on their line."""
+        h = self.h
+        (tf, wf, low), (tb, wb, _) = self._scaled("f"), self._scaled("b")
+        wh = np.stack([wf, wb])
+        n, _, b = x.shape
+        z = np.concatenate([tf, tb])[x + np.array([[0], [len(tf)]])]
+        hs, cs = np.zeros((n + 1, 2, b, h), z.dtype), np.zeros((n + 1, 2, b, h), z.dtype)
+        m = mask[..., None].astype(z.dtype)
+        gates = np.empty_like(z)
         for t in range(n):
-            z = table[x[t]] + hs[t] @ wh
-            s = _sigmoid(z[:, : 3 * h])
-            g = np.tanh(z[:, 3 * h :])
-            c = s[:, h : 2 * h] * cs[t] + s[:, :h] * g
-            m = mask[t][:, None]
-            cs[t + 1] = c * m
-            hs[t + 1] = s[:, 2 * h :] * np.tanh(c) * m
-            if keep:
-                gates[t, :, : 3 * h], gates[t, :, 3 * h :] = s, g
-        return hs, cs, gates
-
-    def _hidden(self, x, mask, d):
-        """Hidden states only, for use without gradients."""
+            z[t] += hs[t] @ wh
+            s = np.clip(z[t], low, 1, out=gates[t])
+            c = s[..., h : 2 * h] * cs[t]
+            c += s[..., :h] * s[..., 2 * h : 3 * h]
+            c *= m[t]
+            cs[t + 1] = c
+            np.multiply(s[..., 3 * h :] * m[t], np.clip(c, -1, 1), out=hs[t + 1])
+        return hs, cs, gates, gates == z
+
+    def _hidden(self, x, d):
+        """Hidden states only, for use without gradients. Padding (id VOCABULARY) closes all gates, so it leaves no state."""
         h = self.h
-        scale = np.ones(4 * h, np.float32)
-        scale[: 3 * h] = 0.5  # sigmoid(z) = (tanh(z / 2) + 1) / 2: one tanh for all gates
-        table = (self.p["emb"] @ self.p[f"wx{d}"] + self.p[f"b{d}"]) * scale
-        wh = self.p[f"wh{d}"] * scale
+        table, wh, low = self._scaled(d)
+        table[VOCABULARY] = -1e4
         n, b = x.shape
         out = np.empty((n, b, h), np.float32)
-        hidden, cell = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
+        z, into = np.empty((b, 4 * h), np.float32), np.empty((b, 4 * h), np.float32)
+        hidden, cell, tmp = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32), np.empty((b, h), np.float32)
         for t in range(n):
-            z = hidden @ wh
-            z += table[x[t]]
-            np.tanh(z, out=z)
-            z[:, : 3 * h] += 1
-            cell = (z[:, h : 2 * h] * cell + z[:, :h] * z[:, 3 * h :]) * 0.5
-            hidden = 0.5 * z[:, 2 * h : 3 * h] * np.tanh(cell)
-            if mask is not None and not mask[t].all():
-                cell *= mask[t][:, None]
-                hidden *= mask[t][:, None]
-            out[t] = hidden
+            np.matmul(hidden, wh, out=z)
+            np.take(table, x[t], axis=0, out=into, mode="clip")
+            z += into
+            np.maximum(z, low, out=z)
+            np.minimum(z, 1, out=z)
+            cell *= z[:, h : 2 * h]
+            np.multiply(z[:, :h], z[:, 2 * h : 3 * h], out=tmp)
+            cell += tmp
+            np.maximum(cell, -1, out=tmp)
+            np.minimum(tmp, 1, out=tmp)
+            np.multiply(z[:, 3 * h :], tmp, out=out[t])
+            hidden = out[t]
         return out
 
-    def infer(self, ids, mask):
-        both = np.concatenate([self._hidden(ids, None, "f"), self._hidden(ids[::-1], mask[::-1], "b")[::-1]], axis=2)
-        return both @ self.p["out"] + self.p["ob"]
+    def infer(self, ids):
+        """Tag scores [T, B, K] of ids [T, B], padded at the end."""
+        n, b = ids.shape
+        f, g = (x.reshape(n * b, self.h) for x in (self._hidden(ids, "f"), self._hidden(ids[::-1], "b")[::-1]))
+        return (f @ self.p["out"][: self.h] + g @ self.p["out"][self.h :] + self.p["ob"]).reshape(n, b, -1)
 
-    def scores(self, ids, mask, keep=False):
+    def scores(self, ids, mask):
         """Tag scores [T, B, K]; padding is at the end of each column and resets the backward state."""
-        f = self._lstm(ids, mask, "f", keep)
-        b = self._lstm(ids[::-1], mask[::-1], "b", keep)
-        both = np.concatenate([f[0][1:], b[0][1:][::-1]], axis=2)
-        return both @ self.p["out"] + self.p["ob"], (f, b, both)
+        x, m = np.stack([ids, ids[::-1]], 1), np.stack([mask, mask[::-1]], 1)
+        states = self._lstm(x, m)
+        both = np.concatenate([states[0][1:, 0], states[0][1:, 1][::-1]], axis=2)
+        return both @ self.p["out"] + self.p["ob"], (x, m, states, both)
 
     def _trans(self):
         return np.where(self.allowed, self.p["trans"], -1e4).astype(np.float32), np.where(self.first_ok, self.p["start"], -1e4).astype(np.float32)
 
     def gradients(self, ids, mask, tags):
         """Negative log-likelihood of the tag paths per character and its gradients."""
-        s, (f, b, both) = self.scores(ids, mask, True)
+        s, (x, m, (hs, cs, gates, on), both) = self.scores(ids, mask)
         trans, start = self._trans()
         n, bs, k = s.shape
-        alpha = np.empty((n, bs, k))
-        alpha[0] = start + s[0]
-        for t in range(1, n):
-            a = alpha[t - 1][:, :, None] + trans[None]
-            m = a.max(1)
-            new = m + np.log(np.exp(a - m[:, None]).sum(1)) + s[t]
-            alpha[t] = np.where(mask[t][:, None] > 0, new, alpha[t - 1])
-        m = alpha[-1].max(1)
-        logz = m + np.log(np.exp(alpha[-1] - m[:, None]).sum(1))
-        beta = np.zeros((bs, k))
+        # forward and backward sums as products of matrices, each step scaled to sum to one
+        high = s.max(2)
+        e = np.exp(s - high[:, :, None], dtype=np.float64)
+        step = np.exp(trans.astype(np.float64))
+        live = mask > 0
+        alpha, scale = np.empty((n, bs, k)), np.ones((n, bs))
+        alpha[0] = np.exp(start.astype(np.float64)) * e[0]
+        for t in range(n):
+            if t:
+                alpha[t] = np.where(live[t][:, None], (alpha[t - 1] @ step) * e[t], alpha[t - 1])
+                scale[t] = np.where(live[t], alpha[t].sum(1), 1.0)
+            else:
+                scale[0] = alpha[0].sum(1)
+            alpha[t] /= scale[t][:, None]
+        logz = (np.log(scale) + high * live).sum(0)
+        beta = np.ones((bs, k))
         g = {name: np.zeros_like(x) for name, x in self.p.items()}
-        ds = np.zeros_like(s)
-        rows = np.arange(bs)
+        ds = np.empty_like(s)
+        pairs = np.zeros((k, k))
         for t in range(n - 1, -1, -1):
-            live = mask[t] > 0
-            p = np.exp(alpha[t] + beta - logz[:, None])
-            p[rows, tags[t]] -= 1
-            ds[t] = p * live[:, None]
+            p = alpha[t] * beta
+            ds[t] = p * live[t][:, None]
             if t:
-                inner = (s[t] + beta)[:, None, :] + trans[None]
-                pair = np.exp(alpha[t - 1][:, :, None] + inner - logz[:, None, None]) * live[:, None, None]
-                g["trans"] += pair.sum(0)
-                np.add.at(g["trans"], (tags[t - 1][live], tags[t][live]), -1)
-                mx = inner.max(2)
-                new = mx + np.log(np.exp(inner - mx[:, :, None]).sum(2))
-                beta = np.where(live[:, None], new, beta)
-            else:
-                g["start"] += ds[0].sum(0)
+                ahead = e[t] * beta * (live[t] / scale[t])[:, None]
+                pairs += alpha[t - 1].T @ ahead
+                beta = np.where(live[t][:, None], ahead @ step.T, beta)
+        rows = np.arange(bs)
+        ds[np.arange(n)[:, None], rows[None], tags] -= mask
+        seen = live[1:]
+        g["trans"] += pairs * step - np.bincount(tags[:-1][seen] * k + tags[1:][seen], minlength=k * k).reshape(k, k)
+        g["start"] += ds[0].sum(0)
         g["trans"][~self.allowed] = 0
         g["start"][~self.first_ok] = 0
         flat = ds.reshape(-1, k)
@@ -318,37 +310,52 @@ class Tagger:
         g["ob"] = flat.sum(0)
         dh = ds @ self.p["out"].T
         h = self.h
-        for d, (hs, cs, gates), x, dout, mk in (("f", f, ids, dh[:, :, :h], mask), ("b", b, ids[::-1], dh[::-1, :, h:], mask[::-1])):
-            wh = self.p[f"wh{d}"]
-            dhn, dcn = np.zeros((bs, h), np.float32), np.zeros((bs, h), np.float32)
-            dz_all = np.empty((n, bs, 4 * h), np.float32)
-            for t in range(n - 1, -1, -1):
-                m1 = mk[t][:, None]
-                dht, (i, fg, o, gg) = (dout[t] + dhn) * m1, np.split(gates[t], 4, axis=1)
-                tc = np.tanh(cs[t + 1])
-                dc = (dht * o * (1 - tc * tc) + dcn) * m1
-                dz = np.concatenate([dc * gg * i * (1 - i), dc * cs[t] * fg * (1 - fg), dht * tc * o * (1 - o), dc * i * (1 - gg * gg)], axis=1)
-                dz_all[t] = dz
-                dhn, dcn = dz @ wh.T, dc * fg
-            zf = dz_all.reshape(-1, 4 * h)
-            g[f"wh{d}"] = hs[:-1].reshape(-1, h).T @ zf
+        dout = np.stack([dh[:, :, :h], dh[::-1, :, h:]], 1) * m[..., None]
+        slope = self._line()[0]
+        tc = np.clip(cs[1:], -1, 1)
+        out = gates[..., 3 * h :]
+        by_cell = np.concatenate([gates[..., 2 * h : 3 * h], cs[:-1], gates[..., :h]], axis=3) * (slope[: 3 * h] * on[..., : 3 * h])
+        by_cell = by_cell.reshape(*by_cell.shape[:3], 3, h)
+        by_hidden = tc * (slope[3 * h :] * on[..., 3 * h :])
+        to_cell = out * (tc == cs[1:])
+        forget = gates[..., h : 2 * h] * m[..., None]
+        back = np.stack([self.p["whf"].T, self.p["whb"].T])
+        dz_all = np.empty(gates.shape, np.float32)
+        dhn = dcn = np.zeros((2, bs, h), np.float32)
+        for t in range(n - 1, -1, -1):
+            dht = dout[t] + dhn * m[t][..., None]
+            dc = dht * to_cell[t]
+            dc += dcn
+            dz = dz_all[t]
+            np.multiply(dc[:, :, None, :], by_cell[t], out=dz[..., : 3 * h].reshape(2, bs, 3, h))
+            np.multiply(dht, by_hidden[t], out=dz[..., 3 * h :])
+            dhn, dcn = dz @ back, dc * forget[t]
+            if t:
+                dcn = dcn * m[t - 1][..., None]
+        for k2, d in enumerate("fb"):
+            zf = dz_all[:, k2].reshape(-1, 4 * h)
+            g[f"wh{d}"] = hs[:-1, k2].reshape(-1, h).T @ zf
             g[f"b{d}"] = zf.sum(0)
-            per_id = np.stack([np.bincount(x.ravel(), zf[:, c], minlength=VOCABULARY + 1) for c in range(4 * h)], axis=1)
-            g[f"wx{d}"] = self.p["emb"].T @ per_id
-            g["emb"] += per_id @ self.p[f"wx{d}"].T
+            one = np.zeros((VOCABULARY + 1, 4 * h))
+            at = x[:, k2].ravel()
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.diff(at[order], prepend=-1))
+            one[at[order][first]] = np.add.reduceat(zf[order], first, axis=0)
+            g[f"wx{d}"] = self.p["emb"].T @ one
+            g["emb"] += (one @ self.p[f"wx{d}"].T).astype(g["emb"].dtype)
         gold = s[:, rows, :][np.arange(n)[:, None], rows[None], tags] * (mask > 0)
         path = gold.sum(0) + start[tags[0]] + (trans[tags[:-1], tags[1:]] * (mask[1:] > 0)).sum(0)
         return float((logz - path).sum() / mask.sum()), {name: x.astype(np.float32) / max(1.0, bs) for name, x in g.items()}
 
-    def train(self, data: list[tuple[list[int], list[int]]], epochs: int, batch: int = 64, rate: float = 0.02, seed: int = 3) -> float:
-        """Adam on windows of equal length groups; returns the last mean loss."""
+    def train(self, epochs: list[list[tuple[list[int], list[int]]]], batch: int = 32, rate: float = 0.01, seed: int = 3) -> float:
+        """Adam on the windows of each epoch in groups of like length; returns the last mean loss."""
         r = np.random.default_rng(seed)
-        order = sorted(range(len(data)), key=lambda i: len(data[i][0]))
-        groups = [order[i : i + batch] for i in range(0, len(order), batch)]
         m = {n: np.zeros_like(x) for n, x in self.p.items()}
         v = {n: np.zeros_like(x) for n, x in self.p.items()}
-        step, loss, total = 0, 0.0, max(1, epochs * len(groups))
-        for _ in range(epochs):
+        step, loss, total = 0, 0.0, sum(-(-len(data) // batch) for data in epochs)
+        for data in epochs:
+            order = sorted(range(len(data)), key=lambda i: len(data[i][0]))
+            groups = [order[i : i + batch] for i in range(0, len(order), batch)]
             loss = 0.0
             for gi in r.permutation(len(groups)):
                 ids, mask, tags = pad([data[i] for i in groups[gi]])
@@ -365,26 +372,45 @@ class Tagger:
                     self.p[name] -= lr * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)
         return loss
 
-    def viterbi(self, scores: list[np.ndarray]) -> list[np.ndarray]:
-        """Best tag paths of scores [T, K], many at once."""
+    def viterbi(self, s: np.ndarray, size: np.ndarray) -> dict[int, np.ndarray]:
+        """Best tag paths of scores [T, B, K] with `size` steps in each column; columns whose best path has no mention are left out."""
         trans, start = self._trans()
-        n, k = max(map(len, scores)), len(TAGS)
-        s = np.zeros((n, len(scores), k), np.float32)
-        size = np.array([len(x) for x in scores])
-        for j, x in enumerate(scores):
-            s[: len(x), j] = x
-        a, back = start + s[0], np.empty((n, len(scores), k), np.int8)
+        n, b, k = s.shape
+        s = np.ascontiguousarray(s.transpose(0, 2, 1))
+        # O and B (odd tags) follow any tag, I (even tags) its B or itself
+        anywhere, inside = np.flatnonzero(self.first_ok), np.flatnonzero(~self.first_ok)
+        into = np.ascontiguousarray(trans[:, anywhere].T)[:, :, None]
+        from_b, from_i = trans[inside - 1, inside][:, None], trans[inside, inside][:, None]
+        best = np.empty((n, k, b), np.float32)
+        best[0] = start[:, None] + s[0]
+        plain = best[0, 0].copy()
+        short = size.min()
         for t in range(1, n):
-            x = a[:, :, None] + trans
-            live = (t < size)[:, None]
-            back[t] = np.where(live, x.argmax(1), np.arange(k))
-            a = np.where(live, x.max(1) + s[t], a)
-        rows, at = np.arange(len(scores)), a.argmax(1)
-        path = np.empty((n, len(scores)), np.int8)
+            old, new = best[t - 1], best[t]
+            new[0::2][1:] = old[1::2] + from_b
+            np.maximum(new[0::2][1:], old[0::2][1:] + from_i, out=new[0::2][1:])
+            ways = into + old
+            new[1::2] = ways[1:].max(1)
+            new[0] = ways[0].max(0)
+            new += s[t]
+            step = s[t, 0] + trans[0, 0]
+            if t >= short:
+                over = t >= size
+                new[:, over] = old[:, over]
+                step = np.where(over, 0, step)
+            plain += step
+        rows = np.flatnonzero(best[-1].max(0) > plain)
+        if not len(rows):
+            return {}
+        best = np.ascontiguousarray(best[:, :, rows].transpose(0, 2, 1))
+        at, ends = best[-1].argmax(1), size[rows]
+        path = np.empty((n, len(rows)), np.int8)
         for t in range(n - 1, -1, -1):
             path[t] = at
-            at = back[t][rows, at] if t else at
-        return [path[: len(x), j] for j, x in enumerate(scores)]
+            if t:
+                before = (best[t - 1] + trans.T[at]).argmax(1)
+                at = np.where(t < ends, before, at)
+        return {int(j): path[: size[j], i] for i, j in enumerate(rows)}
 
 
 def pad(items):
@@ -397,184 +423,126 @@ def pad(items):
     return ids, mask, tags
 
 
+def fits(text: str, kind: str) -> bool:
+    """Whether a found stretch can be of its kind at all: how many digits and letters it has, and the signs of an address of mail."""
+    digits, letters = sum(c.isdigit() for c in text), sum(c.isalpha() for c in text)
+    if kind == "email":
+        return letters > 2 and ("@" in text or "at" in text) and ("." in text or "dot" in text)
+    if kind == "phone":
+        return letters == 0 and (digits == 10 or digits in (11, 12, 14) and "".join(c for c in text if c.isdigit()).startswith(("0", "91")))
+    if kind == "id_number":
+        return digits >= 4 and 10 <= digits + letters <= 12
+    if kind == "address":
+        return digits > 0 and letters > 2
+    return digits == 0 and letters > 1
+
+
 class Finder:
     """A trained tagger with its reader; decodes equal sentences once."""
 
     def __init__(self, tagger: Tagger, common: set[str], remembered: int = 200_000):
         self.tagger, self.reader, self.limit, self.common = tagger, Reader(common), remembered, common
-        self.known: dict[bytes, list[tuple[int, int, str]]] = {}
-        self.near = {w[:i] + w[i + 1 :] for w in common if len(w) >= 4 for i in range(len(w))}
+        self.known: dict[bytes, list[tuple[int, int, str]] | tuple[()]] = {}
 
     def _decode(self, sentences: list[bytes]) -> None:
-        """Tag paths of unseen sentences: overlapping windows in one batch by length, averaged, then one Viterbi pass each."""
+        """Tag paths of unseen sentences: overlapping windows in batches by length, averaged, then one Viterbi pass each."""
         windows = []
         for k, key in enumerate(sentences):
-            n = len(key) // 2
+            n = len(key)
             for a in range(0, max(1, n - WINDOW + STRIDE), STRIDE) if n > WINDOW else (0,):
                 windows.append((k, a, min(n, a + WINDOW)))
-        arrays = [np.frombuffer(s, np.uint16) for s in sentences]
-        scores: list = [None] * len(sentences)
-        times: dict[int, np.ndarray] = {}
         windows.sort(key=lambda w: w[2] - w[1])
+        arrays = [np.frombuffer(s, np.uint8) for s in sentences]
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for i in range(0, len(windows), 512):
             part = windows[i : i + 512]
-            ids, mask, _ = pad([(arrays[k][a:b], None) for k, a, b in part])
-            s = self.tagger.infer(ids, mask).transpose(1, 0, 2)
+            size = np.array([b - a for _, a, b in part])
+            ids = np.full((size[-1], len(part)), VOCABULARY, np.intp)
             for j, (k, a, b) in enumerate(part):
+                ids[: b - a, j] = arrays[k][a:b]
+            s = self.tagger.infer(ids)
+            whole = [j for j, (k, _, _) in enumerate(part) if len(arrays[k]) <= WINDOW]
+            for j in set(range(len(part))).difference(whole):
+                k, a, b = part[j]
                 n = len(arrays[k])
-                if n <= WINDOW:
-                    scores[k] = s[j, :n]
-                else:
-                    if scores[k] is None:
-                        scores[k], times[k] = np.zeros((n, len(TAGS)), np.float32), np.zeros((n, 1), np.float32)
-                    scores[k][a:b] += s[j, : b - a]
-                    times[k][a:b] += 1
-        lean = np.array([0.0 if t[0] != "B" else 0.5 if t.endswith("person") else 3.0 for t in TAGS], np.float32)  # the exact check follows, so doubtful mentions may begin
-        trans = self.tagger.p["trans"]
-        most = 2 * max(0.0, float(trans[self.tagger.allowed].max() - trans[0, 0]), float(np.abs(self.tagger.p["start"]).max()))  # what a path can gain by transitions
-        doubtful = []
-        for k, s in enumerate(scores):
-            if k in times:
-                s = s / times[k]
-            s = s + lean
-            if (s[:, 1:].max(1) > s[:, 0] - most).any():
-                doubtful.append((len(s), k, s))
-            else:
-                self.known[sentences[k]] = []
-            scores[k] = None
-        doubtful.sort(key=lambda x: x[:2])
-        for i in range(0, len(doubtful), 256):
-            part = doubtful[i : i + 256]
-            for (_, k, _), path in zip(part, self.tagger.viterbi([x[2] for x in part])):
-                spans: list[tuple[int, int, str]] = []
-                for t in np.flatnonzero(path):
-                    y = int(path[t])
-                    if TAGS[y][0] == "B":
-                        spans.append((int(t), int(t) + 1, TAGS[y][2:]))
-                    elif spans:
-                        spans[-1] = (spans[-1][0], int(t) + 1, spans[-1][2])
-                self.known[sentences[k]] = spans
+                total, times = sums.setdefault(k, (np.zeros((n, len(TAGS)), np.float32), np.zeros((n, 1), np.float32)))
+                total[a:b] += s[: b - a, j]
+                times[a:b] += 1
+            if whole:
+                self._remember([sentences[part[j][0]] for j in whole], s if len(whole) == len(part) else s[:, whole], size[whole])
+        long = sorted(sums, key=lambda k: len(sums[k][0]))
+        for i in range(0, len(long), 128):
+            part = long[i : i + 128]
+            size = np.array([len(sums[k][0]) for k in part])
+            s = np.zeros((size[-1], len(part), len(TAGS)), np.float32)
+            for j, k in enumerate(part):
+                total, times = sums.pop(k)
+                s[: size[j], j] = total / times
+            self._remember([sentences[k] for k in part], s, size)
+
+    def _remember(self, keys: list[bytes], s: np.ndarray, size: np.ndarray) -> None:
+        self.known.update(dict.fromkeys(keys, ()))
+        for j, path in self.tagger.viterbi(s, size).items():
+            spans: list[tuple[int, int, str]] = []
+            for t in np.flatnonzero(path):
+                y = int(path[t])
+                if TAGS[y][0] == "B":
+                    spans.append((int(t), int(t) + 1, TAGS[y][2:]))
+                elif spans:
+                    spans[-1] = (spans[-1][0], int(t) + 1, spans[-1][2])
+            self.known[keys[j]] = spans
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
-        """Checked (start, end, kind) of each text, in order."""
+        """(start, end, kind) of each text's mentions, in order."""
         if len(self.known) >= self.limit:
             self.known.clear()
         plans, unseen = [], {}
         for text in texts:
-            plan = []
-            if text:
-                t, stood = visible(one_form(text))
-                for a, b in split_sentences(t, self.common):
-                    ids, pos = self.reader.read(t[a:b])
-                    if ids:
-                        key = np.array(ids, np.uint16).tobytes()
-                        plan.append((key, a, pos))
-                        if key not in self.known:
-                            unseen[key] = None
-                plans.append((t, plan, stood))
-            else:
-                plans.append(("", [], None))
+            plan: list[tuple[bytes, int, int]] = []
+            t, stood = visible(one_form(text)) if text else ("", None)
+            for a, b in split_sentences(t, self.common):
+                if key := self.reader.read(t[a:b]):
+                    plan.append((key, a, b))
+                    if key not in self.known:
+                        unseen[key] = None
+            plans.append((t, plan, stood))
         todo = list(unseen)
-        seen: dict[bytes, list] = {}
-        for i in range(0, len(todo), 4096):
-            self._decode(todo[i : i + 4096])
-            seen.update((k, self.known[k]) for k in todo[i : i + 4096])
+        for i in range(0, len(todo), 8192):
+            self._decode(todo[i : i + 8192])
         out = []
         for t, plan, stood in plans:
-            found = []
-            for key, at, pos in plan:
-                for x, y, kind in seen.get(key) or self.known.get(key) or ():
-                    found.append((at + pos[x], at + pos[y - 1] + 1, kind))
-            spans = settle(t, found, self.common, self.near)
-            out.append(spans if stood is None else [(stood[a], stood[b - 1] + 1, k) for a, b, k in spans])
+            found: list[tuple[int, int, str]] = []
+            for key, a, b in plan:
+                if spans := self.known[key]:
+                    _, starts, ends = self.reader.places(t[a:b])
+                    for x, y, kind in spans:
+                        s, e = a + starts[x], a + ends[y - 1]
+                        if fits(t[s:e], kind) and (not found or s >= found[-1][1]):
+                            found.append((s, e, kind))
+            out.append(found if stood is None else [(stood[a], stood[b - 1] + 1, k) for a, b, k in found])
         return out
 
 
-_TITLE = re.compile(r"(?:mr|mrs|ms|dr|shri|smt|श्री|श्रीमती|डॉ)\.?\s+")
-_HOUSE = re.compile(r"(?:h\.\s?no\.?|house no\.?|house|flat(?: no\.?)?|plot no\.?|plot|ghar no\.?|makaan no\.?|makan no\.?|quarter no\.?|मकान नंबर|मकान|घर नंबर|फ़्लैट(?: नंबर)?|फ्लैट(?: नंबर)?|प्लॉट(?: नंबर)?)\s?\d|\d{1,4}(?:/[\da-z]+)?\b")
-
-
-def misspelt(w: str, common: set[str], near: set[str]) -> bool:
-    """Whether a rare word is a common one with a letter lost, added, changed or swapped."""
-    if w in common or len(w) < 3:
-        return w not in common
-    cut = {w[:i] + w[i + 1 :] for i in range(len(w))}
-    return w in near or any(len(c) >= 4 and c in common for c in cut) or (len(w) >= 4 and not cut.isdisjoint(near))
-
-
-_PLACED = re.compile(rf"[\s,]+(?!hours\b|ghante\b|घंट)(?:{_NAME}[\s,]+){{0,2}}(?:{_ROADS}|sector|lane|gali|block|सेक्टर|गली|ब्लॉक)\b")
-
-
-def settle(t: str, found: list[tuple[int, int, str]], common: set[str] = frozenset(), near: set[str] = frozenset()) -> list[tuple[int, int, str]]:
-    """The exact check: bounds of each found mention by its kind's form; what has no such form there is dropped."""
-    out: list[tuple[int, int, str]] = []
-    for a, b, kind in found:
-        low, high = max(0, a - 24), min(len(t), b + 40)
-        got = None
-        if kind in ("email", "phone", "id_number"):
-            forms = {"email": (EMAIL,), "phone": (LONG_PHONE, PHONE), "id_number": (ID_NUMBER,)}
-            for k in (kind, *(x for x in ("id_number", "phone") if kind != "email" and x != kind)):
-                for form in forms[k]:
-                    for m in form.finditer(t, low, high):
-                        if got is None and m.start() < b and m.end() > a:
-                            got = (m.start(), m.end(), k)
-        elif kind == "address":
-            for m in _HOUSE.finditer(t, max(0, a - 14), high):
-                if m.end() > a - 1 and m.start() < b and (m.start() == 0 or not (t[m.start() - 1].isalnum() or t[m.start() - 1] in "/:")):
-                    bare = m.group()[0].isdigit()
-                    if bare and not _PLACED.match(t, re.compile(r"\d{1,4}(?:/[\da-z]+)?").match(t, m.start()).end()):
-                        continue
-                    end = max(b, m.end())
-                    if full := ADDRESS.match(t, m.start()):
-                        end = full.end()
-                    got = (m.start(), end, kind)
-                    break
-        else:
-            while (m := _TITLE.match(t, a)) and m.end() < b:
-                a = m.end()
-            while a < b and not t[a].isalnum():
-                a += 1
-            while a > 0 and (t[a - 1].isalnum() or "ऀ" <= t[a - 1] <= "ॣ" or t[a - 1] in _SKIP):
-                a -= 1
-            while a < b and t[a] in _SKIP:
-                a += 1
-            parts = ["".join(c for c in w if c not in _SKIP) for w in t[a:b].split()]
-            rare = [w for w in parts if w not in common]
-            wrong = [i for i, w in enumerate(parts) if misspelt(w, common, near)]
-            if len(parts) in (2, 3) and rare and not any(c.isdigit() for c in t[a:b]) and (not wrong or (wrong == [0] and len(parts[0]) > 3)):
-                got = (a, b, kind)
-        if got and (not out or got[0] >= out[-1][1]):
-            out.append(got)
-    return out
-
-
 # ---- Spark
 
 def common_words(df: DataFrame, text_col: str, least_share: float = 0.0006, least: int = 4, most: int = 50_000) -> set[str]:
-    """Words of at least `least_share` as many occurrences as there are distinct texts, counted over all of them, names in name
-    wordings left out: neither copies of a text nor a name that is often given make its words common. Their number is
-    bounded by words per text / least_share, and an error is raised beyond `most`."""
-    texts = df.select(F.lower(text_col).alias("t")).distinct()
-    n = texts.count()
-    other = F.col("t")
-    for p in PERSON_WORDINGS:
-        # the two or three words that the wording's group holds, not the words that lead to them
-        names = F.regexp_extract_all(F.col("t"), F.lit(f"(?U){p}"), F.lit(1))
-        other = F.aggregate(names, other, lambda s, name: F.regexp_replace(s, F.concat(F.lit(r"(?U)\b\Q"), name, F.lit(r"\E\b")), F.lit(" ")))
-    words = texts.select(F.explode(F.split(other, r"[^\p{L}\p{M}]+")).alias("w")).filter("w <> ''")
+    """Words of at least `least_share` as many occurrences as there are texts, counted over all of them. Their number is bounded
+    by words per text / least_share, and an error is raised beyond `most`."""
+    n = df.count()
+    words = df.select(F.explode(F.split(F.lower(text_col), r"[^\p{L}\p{M}]+")).alias("w")).filter("w <> ''")
     rows = words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= max(least, least_share * n)).select("w").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} common words: raise least_share")
     return {"".join(c for c in one_form(r["w"]) if c not in _SKIP) for r in rows}
 
 
-def training_windows(texts: list[str], reader: Reader, label: Callable[[str], list[tuple[int, int, str]]]) -> list[tuple[list[int], list[int]]]:
-    """Distinct labelled windows of the texts."""
+def training_windows(labelled: list[tuple[str, list[tuple[int, int, str]]]], reader: Reader) -> list[tuple[list[int], list[int]]]:
+    """Distinct windows of labelled texts: characters and tags."""
     out: dict[tuple, None] = {}
-    for text in texts:
-        t, spans = one_form(text), label(text)
+    for text, spans in labelled:
+        t = one_form(text)
         for a, b in split_sentences(t, reader.common):
-            ids, pos = reader.read(t[a:b])
+            ids, pos = reader.read(t[a:b]), reader.places(t[a:b])[0]
             tags = [0] * len(ids)
             for s, e, kind in spans:
                 inside = [i for i, p in enumerate(pos) if s <= a + p < e]
@@ -583,40 +551,72 @@ def training_windows(texts: list[str], reader: Reader, label: Callable[[str], li
             for i in range(0, max(1, len(ids) - WINDOW + STRIDE), STRIDE) if len(ids) > WINDOW else (0,):
                 x, y = ids[i : i + WINDOW], tags[i : i + WINDOW]
                 if x:
-                    if y and TAGS[y[0]][0] == "I":
+                    if TAGS[y[0]][0] == "I":
                         y = [y[0] - 1, *y[1:]]
-                    out[tuple(x), tuple(y)] = None
+                    out[x, tuple(y)] = None
     return [(list(x), list(y)) for x, y in out]
 
 
-def fit(df: DataFrame, id_col: str, text_col: str, label: Callable[[str], list[tuple[int, int, str]]] = weak_spans, sample_rows: int = 12_000, windows: int = 5000, repeat: int = 4, epochs: int = 4) -> Finder:
-    """A finder trained on at most `windows` windows with mentions (each `repeat` times) and as many without, from about
-    sample_rows texts (bounded_sample)."""
-    common = common_words(df, text_col)
-    sample = sorted(r[0] for r in bounded_sample(df.filter(F.col(text_col).isNotNull()).select(id_col, text_col), id_col, sample_rows).select(text_col).collect())
-    data = training_windows(sample, Reader(common), label)
+def frequent_names(labelled: list[tuple[str, list[tuple[int, int, str]]]], names: dict[bool, list[str]], share: float = 0.3, seed: int = 23) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """The labelled texts in which some names of people are replaced by `names` (by script; words the reader shows as they are)
+    or cut to one word: what stands around a name must tell it, not how rare it is."""
+    r = np.random.default_rng(seed)
+    out = []
+    for text, spans in labelled:
+        new, moved, at = "", [], 0
+        for s, e, kind in spans:
+            mention = text[s:e]
+            if kind == "person" and r.random() < share:
+                parts = mention.split()
+                own = names["ऀ" <= mention[0] <= "ॿ"]
+                parts = parts[:1] if r.random() < 0.3 else parts
+                mention = " ".join(str(r.choice(own)) if r.random() < 0.7 else w for w in parts)
+            new += text[at:s]
+            moved.append((len(new), len(new) + len(mention), kind))
+            new, at = new + mention, e
+        out.append((new + text[at:], moved))
+    return out
+
+
+def train_on(labelled: list[tuple[str, list[tuple[int, int, str]]]], common: set[str], windows: int = 6000, repeat: int = 3, epochs: int = 5) -> Finder:
+    """A finder trained on at most `windows` windows with mentions (each `repeat` times an epoch) and, in each epoch, as many others
+    without."""
+    from sangam.llm.pii_labels import invented
+
+    names = {deva: invented(400, deva) for deva in (False, True)}
+    data = training_windows(frequent_names(labelled, names), Reader(common.union(*names.values())))
     full, empty = [d for d in data if any(d[1])], [d for d in data if not any(d[1])]
     r = np.random.default_rng(11)
     r.shuffle(full)
     r.shuffle(empty)
-    full = full[:windows]
     tagger = Tagger()
     if full:
-        tagger.train([*full * repeat, *empty[:windows]], epochs)
+        # every epoch sees all windows with mentions and others of those without
+        tagger.train([[*full[:windows] * repeat, *(empty[k * windows : (k + 1) * windows] or empty[:windows])] for k in range(epochs)])
     return Finder(tagger, common)
 
 
+def fit(df: DataFrame, id_col: str, text_col: str, label: Callable[[str], list[tuple[int, int, str]]] | None = None, sample_rows: int = 6000, generated: int = 2500, windows: int = 6000, repeat: int = 3, epochs: int = 5) -> Finder:
+    """A finder trained on `generated` made sentences and about sample_rows texts (bounded_sample) with the spans that `label`
+    gives (by wordings if None)."""
+    from sangam.llm.pii_labels import generate, weak_spans
+
+    common = common_words(df, text_col)
+    sample = sorted(r[0] for r in bounded_sample(df.filter(F.col(text_col).isNotNull()).select(id_col, text_col), id_col, sample_rows).select(text_col).collect())
+    return train_on([*generate(generated), *((t, (label or weak_spans)(t)) for t in sample)], common, windows, repeat, epochs)
+
+
 SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("kind", StringType())]))
 
 
 def find_mentions(df: DataFrame, text_col: str, finder: Finder) -> DataFrame:
     """`df` plus mentions and redacted (the text with each mention replaced by [KIND])."""
-    shared = df.sparkSession.sparkContext.broadcast((finder.tagger, finder.reader.common))
+    shared = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, finder.tagger, finder.common))
     out = StructType([StructField("mentions", SPANS), StructField("redacted", StringType())])
 
     @F.pandas_udf(out)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        f = Finder(*shared.value)
+        f = _finder(shared)
         for texts in batches:
             found = f.find(list(texts))
             rows = []
@@ -630,3 +630,15 @@ def find_mentions(df: DataFrame, text_col: str, finder: Finder) -> DataFrame:
 
     d = df.withColumn("_m", run(F.col(text_col)))
     return d.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("mentions", "redacted")], "_m.mentions", "_m.redacted")
+
+
+_LOADED: dict[str, Finder] = {}
+
+
+def _finder(shared) -> Finder:
+    """One finder per worker and broadcast (its name is its key), with what it remembers."""
+    name, tagger, common = shared.value
+    if name not in _LOADED:
+        _LOADED.clear()
+        _LOADED[name] = Finder(tagger, common)
+    return _LOADED[name]
