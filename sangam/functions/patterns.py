@@ -23,7 +23,7 @@ TRAPPED = [(r"\btrapped\b", 90), (r"\b(?:people|persons?|family|families|someone
 STRANDED, STRANDED_NOT = (r"\bstranded\b", 80), r"\bstranded\s+(?:vehicles?|cars?|traffic)"
 URGENT = [(r"\burgent(?:ly)?\b", 90), (r"\bemergency\b", 85), (r"\brising\s+(?:rapidly|fast)\b", 85), (r"\bscreaming\s+for\s+help\b", 90), (r"\bneed\s+rescue\b", 90), (r"\brecommend\s+evacuation\b", 90), (r"\bevacuat(?:e|ion)\b", 85), (r"तुरंत\s*मदद", 90), (r"तुरंत", 80), (r"\bbachao\b", 90), (r"\bturant\b", 85), (r"\bpaani\s+bahut\s+tez\b", 80)]
 #: immediate counts unless denied or followed by danger
-IMMEDIATE, IMMEDIATE_NOT = [(r"\bimmediate\s+rescue\b", 95), (r"\bimmediate?l?y?\b", 90)], r"\bno\s+immediate\w*|\bimmediately\s+danger|\bimmediate\s+danger"
+IMMEDIATE, IMMEDIATE_NOT = [(r"\bimmediate\s+rescue\b", 95), (r"\bimmediatel?y?\b", 90)], r"\bno\s+immediate\w*|\bimmediately\s+danger|\bimmediate\s+danger"
 EXPLICIT = [(r"\b(?:on[- ]ground|on-site)\s+assessment\b", 95), (r"\bconfirmed\b", 90), (r"\bi\s+(?:can\s+)?see\b", 85), (r"\binspected\b", 90), (r"\bobserved\b", 85), (r"\bassessment\b", 85), (r"\bfield_worker\b", 80)]
 INFERRED = [(r"\breport(?:s|ed)\s+(?:of|that)\b", 80), (r"\bsomeone\s+said\b", 85), (r"\breportedly\b", 80), (r"\bsuspected\b", 75), (r"\bhas\s+been\s+informed\b", 70)]
 PEOPLE = [
@@ -43,3 +43,16 @@ TYPE_BASE = {"rescue_needed": 85, "flood": 65, "structural_damage": 60, "waterlo
 WORD_SEVERITY = {"critical": 90, "severe": 70, "moderate": 45, "minor": 20}
 RELATED_TYPES = [("flood", "waterlogging"), ("flood", "rescue_needed"), ("waterlogging", "road_blocked"), ("power_outage", "structural_damage"), ("flood", "structural_damage")]
 INCOMPATIBLE_TYPES = [("drought", "flood"), ("wildfire", "flood"), ("drought", "waterlogging")]
+FAMILIES = [(r"\b(?:approximately|about|around)?\s*(\d+)\s+families\s+affected\b", "affected")]
+# Evidence that counts as of vulnerable or trapped people when severity is assessed; W is a letter, digit or _
+VULNERABLE_SEEN = r"(?:child|children|kids?|infant|baby|babies|elderly|old\s+man|old\s+woman|old\s+people|old\s+person|disabled|handicapped|pregnant|बच्चे|बुज़ुर्ग|बूढ़|bachch\w*|buzu?rg)"
+TRAPPED_SEEN = r"(?:trapped|stuck|stranded|phaas|log\s+phase|phase\s+hain|फंस)"
+# Place phrases (W stands for letters, digits and _ of any script) and parts of known places
+PLACES = [
+    r"\bnear\s+([W\s]+?)(?:\s+area|\s+thana|\s+police\s+station|\.|,|$)", r"\bat\s+([W\s]+?)(?:\s+area|\s+intersection|\.|,|$)",
+    r"\bin\s+((?:Civil Lines|Kotwali|Bilaspur Chowk|Naya Mohalla)(?:\s+area)?)", r"(सिविल\s*लाइन्स|कोतवाली|बिलासपुर\s*चौक|नया\s*मोहल्ला|नया\s*मोहल्ले)",
+    r"([W\s]+?)\s*(?:में|पर|के\s+पास)", r"\b(Civil Lines|Kotwali|Bilaspur Chowk|Naya Mohall[ae])\b", r"([W\s]+?)\s+(?:mein|pe|ke\s+paas)",
+]
+PLACE_PARTS = ["civil lines", "civil line", "kotwali", "bilaspur chowk", "bilaspur chauk", "naya mohalla", "naya mohalle", "rampur", "community center", "सिविल लाइन्स", "कोतवाली", "बिलासपुर चौक", "नया मोहल्ला", "नया मोहल्ले"]
+# Zones by parts of a place name
+ZONES = ["civil", "kotwali", "bilaspur", "naya"]

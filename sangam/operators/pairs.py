@@ -6,12 +6,14 @@ reach meets exactly once, in an equi-join; no pair beyond the neighbouring cells
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sangam.functions.patterns import RELATED_TYPES
 from sangam.operators.geo import EARTH_M, haversine_m, valid_position
+from sangam.session import durable
 
 # Weights of the score.
 WEIGHTS = {"semantic": 0.40, "geographic": 0.30, "temporal": 0.15, "incident_type": 0.15}
@@ -65,77 +67,89 @@ def near_pairs(reports: DataFrame, reach_m: float = REACH_M, reach_min: float =
     return p.filter((F.col("distance_m") <= reach_m) & (F.col("minutes") <= reach_min))
 
 
-def similar_vectors(vectors: DataFrame, least: float, block: int = 2048) -> DataFrame:
-    """(va, vb) of all vectors (v, e) whose cosine is at least `least` > 0, both ways and with themselves: every block meets
-    every block as matrices. The bound is taken 1e-6 lower, as the product of matrices adds in another order than cosine()."""
-    import numpy as np
+SCORED = "id_a string, id_b string, sem double, geo double, tmp double, typ double, score double"
 
-    d = vectors.filter("e is not null and size(e) > 0").select("v", "e", F.size("e").alias("width"))
-    n = d.count() // block + 1
-    at, every = F.pmod(F.xxhash64("v"), F.lit(n)), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    both = d.select("v", "e", "width", at.alias("ab"), every.alias("bb"), F.lit(True).alias("left")).union(d.select("v", "e", "width", every.alias("ab"), at.alias("bb"), F.lit(False).alias("left")).select("v", "e", "width", "ab", "bb", "left"))
-    kind = vectors.schema["v"].dataType.simpleString()
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["left"]], pdf[~pdf["left"]]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"va": pdf["v"][:0], "vb": pdf["v"][:0]})
-        x, y = (np.stack(p["e"].to_list()).astype(float) for p in (a, b))
-        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-        i, j = np.nonzero(x @ y.T >= least - 1e-6)
-        return pd.DataFrame({"va": a["v"].to_numpy()[i], "vb": b["v"].to_numpy()[j]})
-
-    return both.groupBy("ab", "bb", "width").applyInPandas(work, f"va {kind}, vb {kind}")
-
-
-def linked_pairs(reports: DataFrame, vectors: DataFrame, least: float = 0.6) -> DataFrame:
-    """All pairs id_a < id_b of reports (id, place, lat, lon, at, kind, v) whose score is at least `least`, with sem, geo, tmp,
-    typ and score. A missing factor scores 0 and removes no report. vectors: (v, e).
+def _score_block(a: pd.DataFrame, b: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Pairs of a row of `a` and one of `b` (id_a < id_b) that score at least `least`, all factors as matrices."""
+    w = WEIGHTS
 
-    Candidates follow from what a pair that reaches `least` must have:
-    near (within reach or at the same place) and within FAR_MIN of each other: nothing else;
-    near only: a cosine of at least (least - geo - typ) / sem, the weight of typ only where both have a type;
-    not near: FAR_MIN and an equal or related type, as neither alone is enough."""
+    def units(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        e = np.stack([np.frombuffer(v, np.int8) for v in x["e"]]).astype(np.float64)
+        return e, np.sqrt((e * e).sum(1))
+
+    (ea, na), (eb, nb) = units(a), units(b)
+    norm = na[:, None] * nb[None, :]
+    sem = np.clip(np.divide(ea @ eb.T, norm, out=np.zeros_like(norm), where=norm > 0), 0, 1)
+    col = lambda x, c: x[c].to_numpy(dtype=float, na_value=np.nan)
+    la, oa, lb, ob = (np.radians(col(x, c)) for x in (a, b) for c in ("lat", "lon"))
+    h = np.sin((lb[None] - la[:, None]) / 2) ** 2 + np.cos(la)[:, None] * np.cos(lb)[None] * np.sin((ob[None] - oa[:, None]) / 2) ** 2
+    m = 2 * EARTH_M * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(0, 1 - h)))
+    known = ~np.isnan(m)
+    pa, pb = a["place"].fillna("").to_numpy(), b["place"].fillna("").to_numpy()
+    same = (pa[:, None] == pb[None]) & (pa != "")[:, None]
+    geo = np.where(known & same, 1.0, np.where(known & (m <= REACH_M), 1 - m / REACH_M, 0.0))
+    dt = np.abs(col(a, "us")[:, None] - col(b, "us")[None]) / 6e7
+    tmp = np.where(dt <= NEAR_MIN, 1.0, np.where(dt <= FAR_MIN, 1 - (dt - NEAR_MIN) / (FAR_MIN - NEAR_MIN), 0.0))
+    names = sorted({*a["kind"].dropna(), *b["kind"].dropna(), *(k for p in RELATED_TYPES for k in p)})
+    at = {k: i + 1 for i, k in enumerate(names)}
+    table = np.zeros((len(names) + 1, len(names) + 1))
+    table[range(1, len(names) + 1), range(1, len(names) + 1)] = 1
+    for x, y in RELATED_TYPES:
+        table[at[x], at[y]] = table[at[y], at[x]] = 0.5
+    typ = table[np.ix_(a["kind"].map(at).fillna(0).astype(int), b["kind"].map(at).fillna(0).astype(int))]
+    score = np.round(sem * w["semantic"] + geo * w["geographic"] + tmp * w["temporal"] + typ * w["incident_type"], 9)
+    ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
+    i, j = np.nonzero(score >= least)
+    keep = ia[i] < ib[j]
+    i, j = i[keep], j[keep]
+    return pd.DataFrame({"id_a": ia[i], "id_b": ib[j], **{n: x[i, j] for n, x in (("sem", sem), ("geo", geo), ("tmp", tmp), ("typ", typ), ("score", score))}})
+
+
+def linked_pairs(reports: DataFrame, least: float = 0.6, block: int = 1024, group_rows: int = 20_000) -> DataFrame:
+    """All pairs id_a < id_b of reports (id, place, lat, lon, us, kind, e: vector of signed bytes) whose score is at least `least`, with sem,
+    geo, tmp, typ and score. A missing factor scores 0 and removes no report.
+
+    Without a geographic score a pair needs the time within FAR_MIN and an equal or related type, so pairs meet at one of:
+    a cell of space (one side in its own, the other in every cell within reach) or their common place, whatever the time; a
+    cell of time and a type. Meeting places of more than `block` rows a side are cut into blocks, and every block of one side
+    meets every block of the other in a task of its own: each pair is scored as part of a matrix, no group is unbounded."""
     w = WEIGHTS
-    if not max(w["geographic"] + w["incident_type"], w["semantic"] + max(w["temporal"], w["incident_type"])) < least <= 1:
-        raise ValueError("the bounds of the candidates hold for least in (0.55, 1] only")
-    untyped, typed = ((least - w["geographic"] - x) / w["semantic"] for x in (0, w["incident_type"]))
+    if not w["semantic"] + max(w["temporal"], w["incident_type"]) < least <= 1:
+        raise ValueError("the meeting places hold for least in (0.55, 1] only")
     ok = valid_position(F.col("lat"), F.col("lon"))
     kind = F.nullif(F.lower(F.trim("kind")), F.lit(""))
-    d = reports.select("id", F.nullif(F.col("place"), F.lit("")).alias("place"), F.when(ok, F.col("lat")).alias("lat"), F.when(ok, F.col("lon")).alias("lon"), F.unix_micros("at").alias("us"), kind.alias("kind"), "v")
-    cols = d.columns
+    d = durable(reports.select("id", F.nullif(F.col("place"), F.lit("")).alias("place"), F.when(ok, F.col("lat")).alias("lat"), F.when(ok, F.col("lon")).alias("lon"), "us", kind.alias("kind"), "e"), "scored")
     la, lo = F.radians("lat"), F.radians("lon")
-    axes = {"x": F.cos(la) * F.cos(lo) * EARTH_M, "y": F.cos(la) * F.sin(lo) * EARTH_M, "z": F.sin(la) * EARTH_M}
+    axes = [F.cos(la) * F.cos(lo) * EARTH_M, F.cos(la) * F.sin(lo) * EARTH_M, F.sin(la) * EARTH_M]
 
     def cells(v: Column, reach: float, wide: bool) -> Column:
         at = lambda x: F.floor(x / (2 * reach)).cast("bigint")
         r = reach * 1.000001 + 1e-6
-        return F.explode(F.sequence(at(v - r), at(v + r))) if wide else at(v)
-
-    def spots(wide: bool) -> DataFrame:
-        near = d.filter("lat is not null")
-        s = near
-        for k, v in axes.items():
-            s = s.withColumn(f"c{k}", cells(v, REACH_M, wide))
-        return s.select(*cols, F.concat_ws("/", "cx", "cy", "cz").alias("spot")).union(near.filter("place is not null").select(*cols, F.concat(F.lit("@"), "place").alias("spot")))
-
-    def side(x: DataFrame, s: str, *keys: str) -> DataFrame:
-        return x.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in cols])
-
-    minute = lambda x, wide: x.filter("us is not null").withColumn("ct", cells(F.col("us") / 6e7, FAR_MIN, wide))
-    both = [f"{c}_{s}" for s in "ab" for c in cols]
-    a, b = spots(False), spots(True)
-    soon = side(minute(a, False), "a", "spot", "ct").join(side(minute(b, True), "b", "spot", "ct"), ["spot", "ct"]).filter("id_a < id_b")
-    alike = similar_vectors(vectors, typed)
-    alike = alike.join(vectors.select(F.col("v").alias("va"), F.col("e").alias("ea")), "va").join(vectors.select(F.col("v").alias("vb"), F.col("e").alias("eb")), "vb")
-    alike = alike.select(F.col("va").alias("v_a"), F.col("vb").alias("v_b"), (cosine(F.col("ea"), F.col("eb")) >= untyped - 1e-6).alias("alone"))
-    late = side(a, "a", "spot").join(alike, "v_a").join(side(b, "b", "spot"), ["spot", "v_b"]).filter("id_a < id_b and (alone or (kind_a is not null and kind_b is not null))")
+        return F.sequence(at(v - r), at(v + r)) if wide else F.array(at(v))
+
     links = F.create_map(*[x for k in sorted({k for p in RELATED_TYPES for k in p}) for x in (F.lit(k), F.array(*[F.lit(o) for p in RELATED_TYPES if k in p for o in p if o != k]))])
-    own = d.filter("kind is not null")
-    far = side(minute(own, False).withColumn("as", F.col("kind")), "a", "as", "ct").join(side(minute(own, True).withColumn("as", F.explode(F.concat(F.array("kind"), F.coalesce(F.try_element_at(links, F.col("kind")), F.array().cast("array<string>"))))), "b", "as", "ct"), ["as", "ct"]).filter("id_a < id_b")
-    p = soon.select(both).union(late.select(both)).union(far.select(both)).distinct()
-    same = (F.col("place_a") == F.col("place_b")) & F.col("lat_a").isNotNull() & F.col("lat_b").isNotNull()
-    p = p.withColumn("geo", geo_score(haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), same)).withColumn("tmp", temporal_score(F.abs(F.col("us_a") - F.col("us_b")) / 6e7)).withColumn("typ", type_score(F.col("kind_a"), F.col("kind_b")))
-    p = p.join(vectors.select(F.col("v").alias("v_a"), F.col("e").alias("ea")), "v_a", "left").join(vectors.select(F.col("v").alias("v_b"), F.col("e").alias("eb")), "v_b", "left").withColumn("sem", cosine(F.col("ea"), F.col("eb")))
-    p = p.withColumn("score", F.round(match_score(*map(F.col, ("sem", "geo", "tmp", "typ"))), 9))
-    return p.filter(F.col("score") >= least).select("id_a", "id_b", "sem", "geo", "tmp", "typ", "score")
+
+    def keys(wide: bool) -> Column:
+        x, y, z = (cells(v, REACH_M, wide) for v in axes)
+        spots = F.flatten(F.transform(x, lambda i: F.flatten(F.transform(y, lambda j: F.transform(z, lambda k: F.concat_ws("/", i, j, k))))))
+        kinds = F.concat(F.array("kind"), F.coalesce(F.try_element_at(links, F.col("kind")), F.array().cast("array<string>"))) if wide else F.array("kind")
+        soon = F.flatten(F.transform(cells(F.col("us") / 6e7, FAR_MIN, wide), lambda t: F.transform(kinds, lambda k: F.concat_ws("|", t, k))))
+        none = F.array().cast("array<string>")
+        return F.concat(F.when(F.col("lat").isNotNull(), F.concat(spots, F.when(F.col("place").isNotNull(), F.array(F.concat(F.lit("@"), "place"))).otherwise(none))).otherwise(none), F.when(F.col("us").isNotNull() & F.col("kind").isNotNull(), soon).otherwise(none))
+
+    sides = d.select("*", F.explode(keys(False)).alias("key"), F.lit(True).alias("left")).union(d.select("*", F.explode(keys(True)).alias("key"), F.lit(False).alias("left")))
+    size = durable(sides.groupBy("key").agg(F.count_if("left").alias("na"), F.count_if(~F.col("left")).alias("nb")).filter("na > 0 and nb > 0 and na + nb > 2"), "sizes")
+    n = max(1, size.agg(F.sum(F.expr(f"na * ceil(nb / {block}) + nb * ceil(na / {block})"))).first()[0] or 0) // group_rows + 1
+    met = sides.join(size, "key")
+    ka, kb = F.ceil(F.col("na") / block), F.ceil(F.col("nb") / block)
+    own, other = F.when(F.col("left"), ka).otherwise(kb), F.when(F.col("left"), kb).otherwise(ka)
+    met = met.withColumn("mine", F.pmod(F.xxhash64("id"), own)).withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("bigint"), other - 1)))
+    meeting = F.struct("key", F.when(F.col("left"), F.col("mine")).otherwise(F.col("theirs")).alias("x"), F.when(F.col("left"), F.col("theirs")).otherwise(F.col("mine")).alias("y"))
+    met = met.select("id", "place", "lat", "lon", "us", "kind", "e", "left", F.xxhash64(meeting).alias("g"), "key")
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [_score_block(g[g["left"]], g[~g["left"]], least) for _, g in pdf.groupby(["g", "key"], sort=False) if len(g) > 2 and g["left"].any() and not g["left"].all()]
+        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: pd.Series(dtype=object if c.endswith("string") else float) for c in SCORED.split(", ")})
+
+    return met.groupBy(F.pmod("g", F.lit(n)).alias("bucket")).applyInPandas(work, SCORED).dropDuplicates(["id_a", "id_b"])

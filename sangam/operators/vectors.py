@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType
 
 DIMENSIONS = 64
 
@@ -31,6 +31,26 @@ def embed(texts: pd.Series) -> pd.Series:
     return texts.map(embed_text)
 
 
+@F.pandas_udf(BinaryType())
+def _binned(hashes: pd.Series) -> pd.Series:
+    import numpy as np
+
+    sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
+    h = np.concatenate(hashes.to_list()).astype(np.int64) if sizes.sum() else np.empty(0, np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    x = np.bincount(row * DIMENSIONS + h % DIMENSIONS, 1 - 2 * (h // DIMENSIONS % 2), minlength=len(sizes) * DIMENSIONS)
+    x = np.clip(x, -127, 127).astype(np.int8).reshape(len(sizes), DIMENSIONS)
+    return pd.Series([r.tobytes() for r in x], index=hashes.index)
+
+
+def word_vectors(text: Column) -> Column:
+    """Signed hashed counts of a text's distinct words of four characters or more: 64 bytes, each a signed number. Words are hashed
+    in the JVM, only numbers reach Python, whole batches at a time. Stands in for a sentence model; a text without such words
+    has the zero vector, which is like nothing."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{M}\p{N}]{4,})"), F.lit(1)))
+    return _binned(F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int")))
+
+
 def indel_ratio(a: str, b: str) -> float:
     """2 * longest common subsequence / total length; 1 for two empty texts."""
     if not a and not b:

@@ -31,17 +31,13 @@ def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _any(t: str, rules) -> str:
-    return "greatest(0, " + ", ".join(f"CASE WHEN regexp_matches({t}, {_lit(p)}, 'i') THEN {c} ELSE 0 END" for p, c in rules) + ")"
-
-
 def reports(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     return table(spark, d, "reports").select(*cols).distinct()
 
 
 def texts(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    """Distinct reports with column t: the normalised raw text."""
-    return reports(spark, d, "id", "raw_text", *cols).withColumn("t", X.normalise(F.col("raw_text")))
+    """Reports, redelivered rows too, with column t: the normalised raw text. Make results distinct, not texts."""
+    return table(spark, d, "reports").select("id", "raw_text", *cols).withColumn("t", X.normalise(F.col("raw_text")))
 
 
 _SPACES = r"[\s\x{0B}\x{85}\x{A0}\x{1C}-\x{1F}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -97,7 +93,7 @@ def extraction_fields(spark, d):
 
 @query("normalize_text", _TEXTS + " SELECT id, t AS normalized FROM t")
 def normalize_text(spark, d):
-    return texts(spark, d).select("id", F.col("t").alias("normalized"))
+    return texts(spark, d).select("id", F.col("t").alias("normalized")).distinct()
 
 
 _ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:?\d{2})?$"
@@ -112,12 +108,16 @@ SELECT id, CAST(u - CASE WHEN z = 'Z' THEN 0 WHEN z = '' OR z IS NULL THEN 330
  ELSE (CASE WHEN z[1] = '-' THEN -1 ELSE 1 END) * (CAST(z[2:3] AS BIGINT) * 60 + CAST(z[4:5] AS BIGINT)) END * 60000000 AS BIGINT) AS utc_us FROM p""",
 )
 def normalize_timestamp(spark, d):
-    s = F.trim("received_at")
-    r = reports(spark, d, "id", "received_at").withColumn("s", s)
-    local = F.when(F.col("s").rlike(_ISO), F.unix_micros(F.regexp_extract("s", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?", 0).try_cast("timestamp")))
-    z = F.replace(F.regexp_extract("s", r"(Z|[+-]\d{2}:?\d{2})$", 1), F.lit(":"), F.lit(""))
+    return reports(spark, d, "id", "received_at").select("id", utc_of("received_at").alias("utc_us"))
+
+
+def utc_of(column: str):
+    """Microseconds of an ISO time; without a zone it is Indian time; null for anything else."""
+    s = F.trim(F.col(column))
+    local = F.when(s.rlike(_ISO), F.unix_micros(F.regexp_extract(s, r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?", 0).try_cast("timestamp")))
+    z = F.replace(F.regexp_extract(s, r"(Z|[+-]\d{2}:?\d{2})$", 1), F.lit(":"), F.lit(""))
     minutes = F.when(z == "Z", 0).when(z == "", 330).otherwise(F.when(F.substring(z, 1, 1) == "-", -1).otherwise(1) * (F.substring(z, 2, 2).try_cast("bigint") * 60 + F.substring(z, 4, 2).try_cast("bigint")))
-    return r.select("id", (local - minutes.cast("bigint") * F.lit(60_000_000).cast("bigint")).alias("utc_us"))
+    return local - minutes.cast("bigint") * F.lit(60_000_000).cast("bigint")
 
 
 _SRC = "lower(trim(source, ' '))"
@@ -139,87 +139,19 @@ _LANG = rf"""CASE WHEN trim(coalesce(raw_text, ''), ' ') = '' THEN CASE WHEN tri
 
 @query("romanized_hits", f"SELECT id, CAST({_HITS} AS INT) AS hits FROM (SELECT DISTINCT id, raw_text FROM reports)")
 def romanized_hits(spark, d):
-    return reports(spark, d, "id", "raw_text").select("id", X.romanised_hits(F.col("raw_text")).alias("hits"))
+    return table(spark, d, "reports").select("id", X.romanised_hits(F.col("raw_text")).alias("hits")).distinct()
 
 
 @query("detect_language", rf"SELECT id, {_LANG} AS language FROM (SELECT *, {_HITS} AS n, regexp_matches(coalesce(raw_text, ''), '[\x{{0900}}-\x{{097F}}]') AS h FROM (SELECT DISTINCT id, raw_text, language FROM reports))")
 def detect_language(spark, d):
-    return reports(spark, d, "id", "raw_text", "language").select("id", X.language_by_rules(F.col("raw_text"), F.col("language")).alias("language"))
+    return table(spark, d, "reports").select("id", X.language_by_rules(F.col("raw_text"), F.col("language")).alias("language")).distinct()
 
 
 @query("normalize_reports", rf"""WITH x AS (SELECT DISTINCT id, raw_text, source, language FROM reports), y AS (SELECT *, {_HITS} AS n, regexp_matches(coalesce(raw_text, ''), '[\x{{0900}}-\x{{097F}}]') AS h FROM x)
 SELECT id, {_NORM} AS normalized, {_SOURCE} AS channel, {_LANG} AS language FROM y""")
 def normalize_reports(spark, d):
     r = texts(spark, d, "source", "language")
-    return r.select("id", F.col("t").alias("normalized"), X.source_name(F.col("source")).alias("channel"), X.language_by_rules(F.col("raw_text"), F.col("language")).alias("language"))
-
-
-# ---- C: facts by wordings
-
-_TYPES = {n: _any("t", rules) for n, (_, rules) in P.INCIDENT_TYPES.items()}
-_TOP = "greatest(" + ", ".join(f"CASE WHEN {_TYPES[n]} > 0 THEN {_TYPES[n]} * 1000 + {rank * 10 + 9 - k} END" for k, (n, (rank, _)) in enumerate(P.INCIDENT_TYPES.items())) + ")"
-_TYPE_NAME = "CASE top % 10 " + " ".join(f"WHEN {9 - k} THEN {_lit(n)}" for k, n in enumerate(P.INCIDENT_TYPES)) + " END"
-
-
-@query("extract_incident_type", f"{_TEXTS}, u AS (SELECT id, {_TOP} AS top FROM t) SELECT id, {_TYPE_NAME} AS incident_type, CAST(coalesce(top // 1000, 0) AS INT) AS confidence FROM u")
-def extract_incident_type(spark, d):
-    v = texts(spark, d).withColumn("v", X.incident_type(F.col("t")))
-    return v.select("id", F.col("v.value").alias("incident_type"), "v.confidence")
-
-
-_STRANDED = rf"CASE WHEN regexp_matches(regexp_replace(t, {_lit(P.STRANDED_NOT)}, '', 'gi'), '\bstranded\b', 'i') THEN 80 ELSE 0 END"
-_TRAPPED = f"greatest({_any('t', P.TRAPPED)}, {_STRANDED})"
-
-
-@query("extract_vulnerable", f"{_TEXTS} SELECT id, {_any('t', P.VULNERABLE)} AS confidence FROM t")
-def extract_vulnerable(spark, d):
-    return texts(spark, d).select("id", X.vulnerable(F.col("t")).alias("confidence"))
-
-
-@query("extract_trapped", f"{_TEXTS} SELECT id, {_TRAPPED} AS confidence FROM t")
-def extract_trapped(spark, d):
-    return texts(spark, d).select("id", X.trapped(F.col("t")).alias("confidence"))
-
-
-@query("extract_urgency")
-def extract_urgency(spark, d):
-    return texts(spark, d).select("id", X.urgent(F.col("t")).alias("confidence"))
-
-
-_HINT = "CASE " + " ".join(f"WHEN {_any('t', rules)} > 0 THEN {_lit(n)}" for n, rules in P.SEVERITY.items()) + " END"
-_HINT_CONF = "CASE " + " ".join(f"WHEN {_any('t', rules)} > 0 THEN {_any('t', rules)}" for rules in P.SEVERITY.values()) + " ELSE 0 END"
-
-
-@query("extract_severity_hint", f"{_TEXTS} SELECT id, {_HINT} AS severity, {_HINT_CONF} AS confidence FROM t")
-def extract_severity_hint(spark, d):
-    v = texts(spark, d).withColumn("v", X.severity_hint(F.col("t")))
-    return v.select("id", F.col("v.value").alias("severity"), "v.confidence")
-
-
-_TOLD = f"greatest({_any('t', P.EXPLICIT)}, CASE WHEN {_SOURCE} = 'field_worker' THEN 80 ELSE 0 END)"
-
-
-@query("extract_info_type", f"{_TEXTS}, u AS (SELECT id, {_TOLD} AS a, {_any('t', P.INFERRED)} AS b FROM t) SELECT id, CASE WHEN a > 0 AND a >= b THEN 'explicit' WHEN b > 0 THEN 'inferred' END AS info_type, CASE WHEN a > 0 AND a >= b THEN a ELSE b END AS confidence FROM u")
-def extract_info_type(spark, d):
-    v = texts(spark, d, "source").withColumn("v", X.info_type(F.col("t"), X.source_name(F.col("source"))))
-    return v.select("id", F.col("v.value").alias("info_type"), "v.confidence")
-
-
-_PEOPLE = " UNION ALL ".join([f"SELECT id, {_lit(c)} AS category, unnest(regexp_extract_all(t, {_lit(p)}, 1, 'i')) AS low, NULL AS high FROM t" for p, c in P.PEOPLE] + [f"SELECT id, {_lit(c)}, unnest(regexp_extract_all(t, {_lit(p)}, 1, 'i')), unnest(regexp_extract_all(t, {_lit(p)}, 2, 'i')) FROM t" for p, c in P.PEOPLE_RANGES])
-
-
-@query("extract_people", f"{_TEXTS} SELECT DISTINCT id, category, TRY_CAST(low AS BIGINT) AS low, TRY_CAST(coalesce(high, low) AS BIGINT) AS high FROM ({_PEOPLE})")
-def extract_people(spark, d):
-    return texts(spark, d).select("id", F.explode(X.people(F.col("t"))).alias("p")).select("id", "p.*").distinct()
-
-
-@query("extract_fields_long", f"""{_TEXTS}, u AS (SELECT id, {_TOP} AS top, {_HINT} AS severity, CASE WHEN {_any('t', P.VULNERABLE)} > 0 THEN 'true' END AS vulnerable, CASE WHEN {_TRAPPED} > 0 THEN 'true' END AS trapped FROM t)
-SELECT id, field_name, value FROM (SELECT id, unnest(['incident_type', 'severity_hint', 'vulnerable', 'trapped']) AS field_name, unnest([{_TYPE_NAME}, severity, vulnerable, trapped]) AS value FROM u)""")
-def extract_fields_long(spark, d):
-    t = F.col("t")
-    fields = {"incident_type": X.incident_type(t)["value"], "severity_hint": X.severity_hint(t)["value"], "vulnerable": F.when(X.vulnerable(t) > 0, "true"), "trapped": F.when(X.trapped(t) > 0, "true")}
-    rows = F.array(*[F.struct(F.lit(k).alias("field_name"), v.alias("value")) for k, v in fields.items()])
-    return texts(spark, d).select("id", F.explode(rows).alias("r")).select("id", "r.*")
+    return r.select("id", F.col("t").alias("normalized"), X.source_name(F.col("source")).alias("channel"), X.language_by_rules(F.col("raw_text"), F.col("language")).alias("language")).distinct()
 
 
 # ---- D: places
@@ -351,87 +283,73 @@ def cosine_top5(spark, d, k: int = 5, block: int = 1024):
     return best.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k).select("query_id", "vec_id", "cosine")
 
 
-def scored_inputs(spark, d) -> DataFrame:
-    """Distinct reports with position, time and incident type."""
-    kind = table(spark, d, "extractions").filter("field_name = 'incident_type'").select(F.col("report_id").alias("id"), decoded().alias("kind")).groupBy("id").agg(F.max("kind").alias("kind"))
-    r = reports(spark, d, "id", "location_resolved", "location_lat", "location_lon", "received_at_utc").filter("received_at_utc is not null")
-    return r.select("id", F.col("location_resolved").alias("place"), F.col("location_lat").alias("lat"), F.col("location_lon").alias("lon"), F.col("received_at_utc").alias("at")).join(kind, "id", "left")
-
-
-_SCORED = f"""k AS (SELECT report_id AS id, max({_DECODED}) AS kind FROM extractions WHERE field_name = 'incident_type' GROUP BY 1),
- r AS (SELECT x.*, k.kind FROM (SELECT DISTINCT id, location_resolved AS place, location_lat AS lat, location_lon AS lon, epoch_us(received_at_utc) AS at FROM reports
-  WHERE received_at_utc IS NOT NULL AND {_VALID.format(a='location_lat', b='location_lon')}) x LEFT JOIN k USING (id)),
- p AS (SELECT a.id AS id_a, b.id AS id_b, {_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m, abs(a.at - b.at) / 6e7 AS dt, a.place AS pa, b.place AS pb, a.kind AS ka, b.kind AS kb
-  FROM r a JOIN r b ON a.id < b.id AND abs(a.at - b.at) <= 5400000000 WHERE {_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 2000)"""
-_GEO = "CASE WHEN pa = pb THEN 1.0 ELSE 1 - m / 2000 END"
-_TMP = "CASE WHEN dt <= 5 THEN 1.0 ELSE 1 - (dt - 5) / 85 END"
-_REL = " OR ".join(f"(least(ka, kb) = {_lit(min(p))} AND greatest(ka, kb) = {_lit(max(p))})" for p in P.RELATED_TYPES)
-_TYP = f"CASE WHEN ka IS NULL OR kb IS NULL THEN 0.0 WHEN ka = kb THEN 1.0 WHEN {_REL} THEN 0.5 ELSE 0.0 END"
-
-
-def near_scored(spark, d) -> DataFrame:
-    p = E.near_pairs(scored_inputs(spark, d))
-    return p.select("id_a", "id_b", E.geo_score(F.col("distance_m"), F.col("place_a") == F.col("place_b")).alias("geo"), E.temporal_score(F.col("minutes")).alias("tmp"), E.type_score(F.col("kind_a"), F.col("kind_b")).alias("typ"))
+def pair_inputs(spark, d, any_format: bool = False) -> DataFrame:
+    """(id, place, lat, lon, us, kind, e) of every report: a null location falls back to the GPS position, a null received_at_utc to
+    received_at (ISO, or with any_format whatever one instant it reads as); e is the vector of the text."""
+    from sangam.operators.timestamps import normalise_timestamps
+    from sangam.operators.vectors import word_vectors
+    from sangam.plans.problems import channel
 
+    kind = table(spark, d, "extractions").filter("field_name = 'incident_type'").select(F.col("report_id").alias("id"), decoded().alias("kind")).groupBy("id").agg(F.max("kind").alias("kind"))
+    r = table(spark, d, "reports")
+    text = X.normalise(F.col("raw_text")) if "raw_text" in r.columns else F.lit(None).cast("string")
+    r = r.select("id", "source", "location_resolved", "location_lat", "location_lon", "gps_lat", "gps_lon", "received_at", "received_at_utc", word_vectors(text).alias("e")).distinct()
+    if any_format:
+        r = normalise_timestamps(r, "received_at", channel(), day_first=True, default_zone="Asia/Kolkata")
+    else:
+        r = r.withColumn("utc_us", utc_of("received_at"))
+    us = F.coalesce(F.unix_micros("received_at_utc"), "utc_us")
+    return r.select("id", F.col("location_resolved").alias("place"), F.coalesce("location_lat", "gps_lat").alias("lat"), F.coalesce("location_lon", "gps_lon").alias("lon"), us.alias("us"), "e").join(kind, "id", "left")
 
-@query("geo_score_pairs", f"WITH {_SCORED} SELECT id_a, id_b, round({_GEO}, 6) AS geo FROM p")
-def geo_score_pairs(spark, d):
-    return near_scored(spark, d).select("id_a", "id_b", F.round("geo", 6).alias("geo"))
 
+def scored_pairs(spark, d, least: float = 0.6) -> DataFrame:
+    return E.linked_pairs(pair_inputs(spark, d), least)
 
-@query("temporal_score_pairs", f"WITH {_SCORED} SELECT id_a, id_b, round({_TMP}, 6) AS tmp FROM p")
-def temporal_score_pairs(spark, d):
-    return near_scored(spark, d).select("id_a", "id_b", F.round("tmp", 6).alias("tmp"))
 
+_VALID_AT = _VALID.format(a="lat", b="lon")
+_VECTORS = """tx AS (SELECT DISTINCT id, """ + _NORM + """ AS t FROM reports), w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(t), '[\\p{L}\\p{M}\\p{N}]{4,}')) AS w FROM tx), hs AS (SELECT id, CAST('0x' || md5(w)[1:4] AS INT) AS h FROM w),
+ bins AS (SELECT id, h % 64 AS b, sum(1 - 2 * ((h // 64) % 2)) AS x FROM hs GROUP BY ALL),
+ vec AS (SELECT i.id, list(CAST(greatest(-127, least(127, coalesce(x, 0))) AS DOUBLE) ORDER BY r.b) AS e FROM (SELECT DISTINCT id FROM tx) i CROSS JOIN (SELECT unnest(range(64)) AS b) r LEFT JOIN bins ON bins.id = i.id AND bins.b = r.b GROUP BY i.id)"""
+_REL = " OR ".join(f"(least(a.kind, b.kind) = {_lit(min(p))} AND greatest(a.kind, b.kind) = {_lit(max(p))})" for p in P.RELATED_TYPES)
+#: every pair of reports, without any limit of space or time
+_SCORED = f"""{_VECTORS}, nt AS ({SQL["normalize_timestamp"]}), k AS (SELECT report_id AS id, nullif(lower(trim(max({_DECODED}))), '') AS kind FROM extractions WHERE field_name = 'incident_type' GROUP BY 1),
+ r0 AS (SELECT DISTINCT id, nullif(location_resolved, '') AS place, coalesce(location_lat, gps_lat) AS lat, coalesce(location_lon, gps_lon) AS lon, epoch_us(received_at_utc) AS stored FROM reports),
+ r AS (SELECT r0.id, place, CASE WHEN {_VALID_AT} THEN lat END AS lat, CASE WHEN {_VALID_AT} THEN lon END AS lon, coalesce(stored, nt.utc_us) AS us, kind, e, sqrt(list_dot_product(e, e)) AS nrm FROM r0 JOIN vec USING (id) LEFT JOIN nt USING (id) LEFT JOIN k USING (id)),
+ p AS (SELECT a.id AS id_a, b.id AS id_b, CASE WHEN a.nrm > 0 AND b.nrm > 0 THEN greatest(0, least(1, list_dot_product(a.e, b.e) / (a.nrm * b.nrm))) ELSE 0 END AS sem,
+  CASE WHEN a.lat IS NULL OR b.lat IS NULL THEN 0 WHEN a.place = b.place THEN 1 ELSE greatest(0, 1 - {_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} / 2000) END AS geo,
+  CASE WHEN abs(a.us - b.us) <= 3e8 THEN 1 WHEN abs(a.us - b.us) <= 5.4e9 THEN 1 - (abs(a.us - b.us) / 6e7 - 5) / 85 ELSE 0 END AS tmp, CASE WHEN a.kind = b.kind THEN 1 WHEN {_REL} THEN 0.5 ELSE 0 END AS typ FROM r a JOIN r b ON a.id < b.id),
+ s AS (SELECT * FROM (SELECT *, round(sem * 0.4 + geo * 0.3 + tmp * 0.15 + typ * 0.15, 9) AS score FROM p) WHERE score >= 0.6)"""
 
-@query("type_score_pairs", f"WITH {_SCORED} SELECT id_a, id_b, CAST({_TYP} AS DOUBLE) AS typ FROM p")
-def type_score_pairs(spark, d):
-    return near_scored(spark, d).select("id_a", "id_b", "typ")
 
+def _factor(name: str):
+    def run(spark, d):
+        return scored_pairs(spark, d).select("id_a", "id_b", F.round(name, 6).alias(name))
 
-_MAPPED = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT count(*) AS n FROM v),
- s AS (SELECT p.*, greatest(0, least(1, list_cosine_similarity(va.e, vb.e))) AS sem FROM p, n, v va, v vb WHERE va.vec_id = CAST(id_a[2:] AS BIGINT) % n AND vb.vec_id = CAST(id_b[2:] AS BIGINT) % n)"""
-_S = f"sem * 0.4 + ({_GEO}) * 0.3 + ({_TMP}) * 0.15 + ({_TYP}) * 0.15"
+    run.__doc__ = f"The factor {name} of every pair that scores at least 0.6."
+    return run
 
 
-def matched(spark, d) -> DataFrame:
-    """Scored pairs; a report's vector is the one its number leads to, as the reports carry none."""
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    n = e.count()
-    vec = lambda c: F.substring(F.col(c), 2, 20).try_cast("bigint") % n
-    p = near_scored(spark, d).withColumn("va", vec("id_a")).withColumn("vb", vec("id_b"))
-    p = p.join(e.select(F.col("vec_id").alias("va"), F.col("e").alias("ea")), "va").join(e.select(F.col("vec_id").alias("vb"), F.col("e").alias("eb")), "vb")
-    return p.withColumn("sem", E.cosine(F.col("ea"), F.col("eb"))).withColumn("score", E.match_score(*map(F.col, ("sem", "geo", "tmp", "typ")))).select("id_a", "id_b", "sem", "geo", "tmp", "typ", "score")
+for _key, _name in (("geo_score_pairs", "geo"), ("temporal_score_pairs", "tmp"), ("type_score_pairs", "typ")):
+    query(_key, f"WITH {_SCORED} SELECT id_a, id_b, CAST(round({_name}, 6) AS DOUBLE) AS {_name} FROM s")(_factor(_name))
 
 
-@query("pairwise_match", f"WITH {_SCORED}, {_MAPPED} SELECT id_a, id_b, round(sem, 6) AS sem, round({_S}, 6) AS score FROM s")
+@query("pairwise_match", f"WITH {_SCORED} SELECT id_a, id_b, round(sem, 6) AS sem, CAST(round(geo, 6) AS DOUBLE) AS geo, CAST(round(tmp, 6) AS DOUBLE) AS tmp, CAST(typ AS DOUBLE) AS typ, round(score, 6) AS score FROM s")
 def pairwise_match(spark, d):
-    return matched(spark, d).select("id_a", "id_b", F.round("sem", 6).alias("sem"), F.round("score", 6).alias("score"))
+    """All pairs of reports that score at least 0.6, with every factor."""
+    return scored_pairs(spark, d).select("id_a", "id_b", *[F.round(c, 6).alias(c) for c in ("sem", "geo", "tmp", "typ", "score")])
 
 
-@query("match_score_bands", f"WITH {_SCORED}, {_MAPPED} SELECT CASE WHEN sc >= 0.8 THEN 'merge' WHEN sc >= 0.6 THEN 'related' ELSE 'apart' END AS band, count(*) AS pairs FROM (SELECT round({_S}, 9) AS sc FROM s) GROUP BY 1")
+@query("match_score_bands", f"WITH {_SCORED} SELECT CASE WHEN score >= 0.8 THEN 'merge' ELSE 'related' END AS band, count(*) AS pairs FROM s GROUP BY 1")
 def match_score_bands(spark, d):
-    sc = F.round("score", 9)
-    return matched(spark, d).select(F.when(sc >= 0.8, "merge").when(sc >= 0.6, "related").otherwise("apart").alias("band")).groupBy("band").agg(F.count("*").alias("pairs"))
+    return scored_pairs(spark, d).select(F.when(F.col("score") >= 0.8, "merge").otherwise("related").alias("band")).groupBy("band").agg(F.count("*").alias("pairs"))
 
 
 # ---- F: clusters
 
 
 def linked(spark, d) -> DataFrame:
-    """All pairs of reports that score at least 0.6. No report is left out: a null location falls back to the GPS position,
-    a null received_at_utc to the one instant received_at reads as, and a factor that is still missing scores 0."""
-    from sangam.operators.timestamps import normalise_timestamps
-    from sangam.plans.problems import channel
-    from sangam.session import durable
-
-    kind = table(spark, d, "extractions").filter("field_name = 'incident_type'").select(F.col("report_id").alias("id"), decoded().alias("kind")).groupBy("id").agg(F.max("kind").alias("kind"))
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").cast("array<double>").alias("e")).distinct()
-    vec = F.substring("id", 2, 20).try_cast("bigint") % e.count()
-    r = reports(spark, d, "id", "source", "location_resolved", "location_lat", "location_lon", "gps_lat", "gps_lon", "received_at", "received_at_utc")
-    r = normalise_timestamps(r, "received_at", channel(), day_first=True, default_zone="Asia/Kolkata").withColumn("at", F.coalesce("received_at_utc", F.timestamp_micros("utc_us")))
-    r = r.select("id", F.col("location_resolved").alias("place"), F.coalesce("location_lat", "gps_lat").alias("lat"), F.coalesce("location_lon", "gps_lon").alias("lon"), "at", vec.alias("v"))
-    return E.linked_pairs(durable(r.join(kind, "id", "left"), "linked"), e, 0.6)
+    """All pairs of reports that score at least 0.6. No report is left out."""
+    return E.linked_pairs(pair_inputs(spark, d, any_format=True), 0.6)
 
 
 def clustered(spark, d, merge: float = 0.8):
@@ -484,7 +402,7 @@ def incident_links(spark, d):
     return l.groupBy("incident_id").agg(F.count("*").alias("reports"), F.sum(F.round(F.coalesce("match_score", F.lit(1.0)) * 1000).cast("bigint")).alias("score_milli"), F.min("report_id").alias("first_report"))
 
 
-# ---- G: contradictions inside incidents, between classes of equal claims
+# ---- G: members of incidents (contradictions: records.py)
 
 
 def members(spark, d) -> DataFrame:
@@ -492,146 +410,14 @@ def members(spark, d) -> DataFrame:
 
 
 _MEMBERS = "m AS (SELECT DISTINCT incident_id, report_id AS id FROM incident_reports)"
-_CLAIMS = f"""{_MEMBERS}, v AS (SELECT DISTINCT report_id AS id, value AS j FROM extractions WHERE field_name IN ('people_trapped', 'people_affected') AND json_valid(value)),
- c AS (SELECT incident_id, id, j ->> '$.category' AS category, TRY_CAST(coalesce(j ->> '$.count', j ->> '$.count_min') AS BIGINT) AS low, TRY_CAST(coalesce(j ->> '$.count', j ->> '$.count_max') AS BIGINT) AS high FROM m JOIN v USING (id)),
- k AS (SELECT incident_id, category, low, high, count(DISTINCT id) AS n, min(id) AS first FROM c WHERE low IS NOT NULL AND high IS NOT NULL AND category IS NOT NULL GROUP BY ALL)"""
-
-
-@query("contradiction_numeric", f"WITH {_CLAIMS} SELECT a.incident_id, a.category, a.low AS low_a, a.high AS high_a, b.low AS low_b, b.high AS high_b, a.n AS reports_a, b.n AS reports_b FROM k a JOIN k b ON a.incident_id = b.incident_id AND a.category = b.category AND a.high < b.low")
-def contradiction_numeric(spark, d):
-    j = lambda p: F.get_json_object("value", p)
-    e = table(spark, d, "extractions").filter(F.col("field_name").isin("people_trapped", "people_affected"))
-    e = e.select(F.col("report_id").alias("id"), j("$.category").alias("category"), F.coalesce(j("$.count"), j("$.count_min")).try_cast("bigint").alias("low"), F.coalesce(j("$.count"), j("$.count_max")).try_cast("bigint").alias("high"))
-    k = e.dropna().join(members(spark, d), "id").groupBy("incident_id", "category", "low", "high").agg(F.count_distinct("id").alias("n"))
-    a, b = (k.select("incident_id", "category", F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}"), F.col("n").alias(f"reports_{s}")) for s in "ab")
-    return a.join(b, ["incident_id", "category"]).filter("high_a < low_b")
-
-
-@query("contradiction_severity", f"{_TEXTS}, {_MEMBERS}, h AS (SELECT incident_id, {_HINT} AS s FROM t JOIN m USING (id)) SELECT incident_id, count(*) FILTER (WHERE s IN ('critical', 'severe')) AS grave, count(*) FILTER (WHERE s = 'minor') AS light FROM h GROUP BY 1 HAVING grave > 0 AND light > 0")
-def contradiction_severity(spark, d):
-    h = texts(spark, d).select("id", X.severity_hint(F.col("t"))["value"].alias("s")).filter("s is not null").join(members(spark, d), "id")
-    return h.groupBy("incident_id").agg(F.count_if(F.col("s").isin("critical", "severe")).alias("grave"), F.count_if(F.col("s") == "minor").alias("light")).filter("grave > 0 and light > 0")
-
-
-_PAIRS = " OR ".join(f"(least(a.kind, b.kind) = {_lit(min(p))} AND greatest(a.kind, b.kind) = {_lit(max(p))})" for p in P.INCOMPATIBLE_TYPES)
-
-
-@query("contradiction_type", f"WITH {_MEMBERS}, e AS (SELECT DISTINCT report_id AS id, lower({_DECODED}) AS kind FROM extractions WHERE field_name = 'incident_type'), k AS (SELECT incident_id, kind, count(*) AS n FROM m JOIN e USING (id) GROUP BY ALL) SELECT a.incident_id, a.kind AS kind_a, b.kind AS kind_b, a.n AS n_a, b.n AS n_b FROM k a JOIN k b ON a.incident_id = b.incident_id AND a.kind < b.kind WHERE {_PAIRS}")
-def contradiction_type(spark, d):
-    e = table(spark, d, "extractions").filter("field_name = 'incident_type'").select(F.col("report_id").alias("id"), F.lower(decoded()).alias("kind")).distinct()
-    k = e.join(members(spark, d), "id").groupBy("incident_id", "kind").agg(F.count("*").alias("n"))
-    a, b = (k.select("incident_id", F.col("kind").alias(f"kind_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    bad = F.concat_ws("|", "kind_a", "kind_b").isin(*["|".join(sorted(p)) for p in P.INCOMPATIBLE_TYPES])
-    return a.join(b, "incident_id").filter((F.col("kind_a") < F.col("kind_b")) & bad)
-
-
-_LOC = f"WITH {_MEMBERS}, l AS (SELECT DISTINCT id, lower(trim(location_resolved, ' ')) AS place FROM reports WHERE trim(location_resolved, ' ') <> ''), k AS (SELECT incident_id, place, count(*) AS n FROM m JOIN l USING (id) GROUP BY ALL)"
-
-
-def place_classes(spark, d) -> DataFrame:
-    l = reports(spark, d, "id", "location_resolved").select("id", F.lower(F.trim("location_resolved")).alias("place")).filter("place <> ''").distinct()
-    return l.join(members(spark, d), "id").groupBy("incident_id", "place").agg(F.count("*").alias("n"))
-
-
-@query("contradiction_location", f"{_LOC} SELECT incident_id, count(*) AS places, sum(n)::BIGINT AS reports, min(place) AS first_place, max(place) AS last_place FROM k GROUP BY 1 HAVING count(*) > 1")
-def contradiction_location(spark, d):
-    """Incidents whose members name different places: the number of classes and the first and last of them (their pairs are all contradictions)."""
-    k = place_classes(spark, d)
-    return k.groupBy("incident_id").agg(F.count("*").alias("places"), F.sum("n").alias("reports"), F.min("place").alias("first_place"), F.max("place").alias("last_place")).filter("places > 1")
-
-
-def _opposed(yes: str, no: str) -> str:
-    return f"{_TEXTS}, {_MEMBERS} SELECT incident_id, count(*) FILTER (WHERE regexp_matches(t, {_lit(yes)}, 'i')) AS a, count(*) FILTER (WHERE regexp_matches(t, {_lit(no)}, 'i')) AS b FROM t JOIN m USING (id) GROUP BY 1 HAVING a > 0 AND b > 0"
-
-
-def opposed(spark, d, yes: str, no: str) -> DataFrame:
-    t = texts(spark, d).select("id", F.col("t").rlike(f"(?iu){yes}").alias("y"), F.col("t").rlike(f"(?iu){no}").alias("n")).filter("y or n").join(members(spark, d), "id")
-    return t.groupBy("incident_id").agg(F.count_if("y").alias("a"), F.count_if("n").alias("b")).filter("a > 0 and b > 0")
-
-
-@query("contradiction_structural", _opposed(P.DAMAGED, P.INTACT))
-def contradiction_structural(spark, d):
-    return opposed(spark, d, P.DAMAGED, P.INTACT)
-
-
-@query("contradiction_access", _opposed(P.BLOCKED, P.PASSABLE))
-def contradiction_access(spark, d):
-    return opposed(spark, d, P.BLOCKED, P.PASSABLE)
-
-
-@query("distinct_disagreements", f"""WITH {_CLAIMS}, n AS (SELECT a.incident_id, count(*) AS n FROM k a JOIN k b ON a.incident_id = b.incident_id AND a.category = b.category AND a.high < b.low GROUP BY 1),
- l AS (SELECT incident_id, count(*) * (count(*) - 1) // 2 AS n FROM (SELECT DISTINCT incident_id, lower(trim(location_resolved, ' ')) AS place FROM m JOIN (SELECT DISTINCT id, location_resolved FROM reports WHERE trim(location_resolved, ' ') <> '') USING (id)) GROUP BY 1 HAVING count(*) > 1)
-SELECT incident_id, sum(n)::BIGINT AS disagreements FROM (SELECT * FROM n UNION ALL SELECT * FROM l) GROUP BY 1""")
-def distinct_disagreements(spark, d):
-    """Distinct disagreements of number and place, counted from classes: places contribute n * (n - 1) / 2 without forming the pairs."""
-    n = contradiction_numeric(spark, d).groupBy("incident_id").agg(F.count("*").alias("n"))
-    l = place_classes(spark, d).groupBy("incident_id").agg(F.count("*").alias("p")).filter("p > 1").select("incident_id", F.expr("p * (p - 1) div 2").alias("n"))
-    return n.union(l).groupBy("incident_id").agg(F.sum("n").alias("disagreements"))
-
-
 # ---- H: assessment
 
 
-_BASE = "CASE kind " + " ".join(f"WHEN {_lit(k)} THEN {v}" for k, v in P.TYPE_BASE.items()) + " ELSE 0 END"
-_WORD = "CASE hint " + " ".join(f"WHEN {_lit(k)} THEN {v}" for k, v in P.WORD_SEVERITY.items()) + " ELSE 0 END"
-_FACTS = f"""{_TEXTS}, {_MEMBERS}, f AS (SELECT id, {_SOURCE} AS channel, t, {_TOP} AS top, {_HINT} AS hint, {_TRAPPED} AS tr, {_any('t', P.VULNERABLE)} AS vu, {_TOLD} AS a, {_any('t', P.INFERRED)} AS b FROM t),
- g AS (SELECT m.incident_id, f.*, {_TYPE_NAME} AS kind, CASE WHEN a > 0 AND a >= b THEN 1.0 WHEN b > 0 THEN 0.4 ELSE 0.2 END AS info FROM f JOIN m USING (id)),
- x2 AS (SELECT incident_id, avg(confidence) AS ex FROM m JOIN (SELECT DISTINCT report_id AS id, field_name, value, confidence FROM extractions WHERE value IS NOT NULL AND evidence IS NOT NULL) USING (id) GROUP BY 1),
- s AS (SELECT incident_id, count(*) AS reports, count(DISTINCT t) AS units, count(DISTINCT channel) AS channels, max({_BASE}) AS base, max({_WORD}) AS word, max(tr) AS tr, max(vu) AS vu, avg(info) AS info FROM g GROUP BY 1),
- z AS (SELECT s.*, least(100, greatest(base, word) + CASE WHEN tr > 0 THEN 15 ELSE 0 END + CASE WHEN vu > 0 THEN 10 ELSE 0 END) AS sev,
-  0.25 * (CASE WHEN units >= 4 THEN 1.0 WHEN units = 3 THEN 0.85 WHEN units = 2 THEN 0.7 ELSE 0.4 END) + 0.2 * (CASE WHEN channels >= 3 THEN 1.0 WHEN channels = 2 THEN 0.75 ELSE 0.4 END) + 0.25 + 0.15 * coalesce(ex, 0.2) + 0.15 * info AS conf FROM s LEFT JOIN x2 USING (incident_id))"""
-
-
-def assessed(spark, d) -> DataFrame:
-    """One row an incident: severity, confidence, priority and what they rest on. All aggregates combine on the map side."""
-    t = F.col("t")
-    base = F.create_map(*[F.lit(x) for kv in P.TYPE_BASE.items() for x in kv])
-    word = F.create_map(*[F.lit(x) for kv in P.WORD_SEVERITY.items() for x in kv])
-    f = texts(spark, d, "source").select(
-        "id", F.xxhash64("t").alias("unit"), X.source_name(F.col("source")).alias("channel"), F.coalesce(F.try_element_at(base, X.incident_type(t)["value"]), F.lit(0)).alias("base"),
-        F.coalesce(F.try_element_at(word, X.severity_hint(t)["value"]), F.lit(0)).alias("word"), X.trapped(t).alias("tr"), X.vulnerable(t).alias("vu"), X.info_type(t, X.source_name(F.col("source")))["value"].alias("info"),
-    )
-    m = members(spark, d)
-    info = F.when(F.col("info") == "explicit", 1.0).when(F.col("info") == "inferred", 0.4).otherwise(0.2)
-    s = f.join(m, "id").groupBy("incident_id").agg(F.count("*").alias("reports"), F.count_distinct("unit").alias("units"), F.count_distinct("channel").alias("channels"), F.max("base").alias("base"), F.max("word").alias("word"), F.max("tr").alias("tr"), F.max("vu").alias("vu"), F.avg(info).alias("info"))
-    e = table(spark, d, "extractions").filter("value is not null and evidence is not null").select(F.col("report_id").alias("id"), "field_name", "value", "confidence").distinct()
-    s = s.join(e.join(m, "id").groupBy("incident_id").agg(F.avg("confidence").alias("ex")), "incident_id", "left")
-    sev = F.least(F.lit(100), F.greatest("base", "word") + F.when(F.col("tr") > 0, 15).otherwise(0) + F.when(F.col("vu") > 0, 10).otherwise(0))
-    units = F.when(F.col("units") >= 4, 1.0).when(F.col("units") == 3, 0.85).when(F.col("units") == 2, 0.7).otherwise(0.4)
-    channels = F.when(F.col("channels") >= 3, 1.0).when(F.col("channels") == 2, 0.75).otherwise(0.4)
-    conf = 0.25 * units + 0.2 * channels + F.lit(0.25) + 0.15 * F.coalesce("ex", F.lit(0.2)) + 0.15 * F.col("info")
-    s = s.withColumn("sev", sev).withColumn("conf", conf)
-    return s.withColumn("priority", priority_of(F.col("sev"), F.col("conf")))
-
-
 def priority_of(sev, conf):
     raw = sev * (0.4 + 0.6 * conf)
     return F.when((conf < 0.3) & (raw > 69), 69.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)))
 
 
-_PRIO = "CASE WHEN conf < 0.3 AND sev * (0.4 + 0.6 * conf) > 69 THEN 69.0 ELSE sev * (0.4 + 0.6 * conf) END"
-
-
-@query("severity", f"{_FACTS} SELECT incident_id, CAST(sev AS INT) AS severity FROM z")
-def severity(spark, d):
-    return assessed(spark, d).select("incident_id", F.col("sev").cast("int").alias("severity"))
-
-
-@query("confidence", f"{_FACTS} SELECT incident_id, round(conf, 6) AS confidence FROM z")
-def confidence(spark, d):
-    return assessed(spark, d).select("incident_id", F.round("conf", 6).alias("confidence"))
-
-
-@query("corroboration_units", f"{_FACTS} SELECT incident_id, reports, units, channels FROM z")
-def corroboration_units(spark, d):
-    return assessed(spark, d).select("incident_id", "reports", "units", "channels")
-
-
-@query("assess_incidents", f"{_FACTS} SELECT incident_id, reports, units, channels, CAST(sev AS INT) AS severity, round(conf, 6) AS confidence, round({_PRIO}, 6) AS priority, CASE WHEN {_PRIO} >= 85 THEN 'critical' WHEN {_PRIO} >= 70 THEN 'high' WHEN {_PRIO} >= 40 THEN 'medium' ELSE 'low' END AS band FROM z")
-def assess_incidents(spark, d):
-    p = F.col("priority")
-    band = F.when(p >= 85, "critical").when(p >= 70, "high").when(p >= 40, "medium").otherwise("low")
-    return assessed(spark, d).select("incident_id", "reports", "units", "channels", F.col("sev").cast("int").alias("severity"), F.round("conf", 6).alias("confidence"), F.round("priority", 6).alias("priority"), band.alias("band"))
 
 
 # ---- I, L: the query surface
@@ -719,12 +505,6 @@ def zone_marker_layout(spark, d):
     return z.select("id", "zone", (F.round(F.cos(a), 6) + 0.0).alias("dx"), (F.round(F.sin(a), 6) + 0.0).alias("dy"))
 
 
-@query("incident_titles", "SELECT id, concat(coalesce(nullif(urgency, ''), 'unscored'), ' — ', coalesce(nullif(location_resolved, ''), 'Rampur')) AS title FROM (SELECT DISTINCT id, urgency, location_resolved FROM incidents)")
-def incident_titles(spark, d):
-    i = table(spark, d, "incidents").select("id", "urgency", "location_resolved").distinct()
-    return i.select("id", F.concat(F.coalesce(F.expr("nullif(urgency, '')"), F.lit("unscored")), F.lit(" — "), F.coalesce(F.expr("nullif(location_resolved, '')"), F.lit("Rampur"))).alias("title"))
-
-
 # ---- further sources, sinks and grouped results
 
 
@@ -741,23 +521,6 @@ def next_incident_number(spark, d):
     return n.select((F.col("n") + 1).alias("n")).join(n, "n", "left_anti").agg(F.min("n").alias("next"))
 
 
-@query("assessment_update", f"{_FACTS} SELECT i.id, round(coalesce(z.conf, i.confidence), 6) AS confidence, z.incident_id IS NOT NULL AS updated FROM (SELECT DISTINCT id, confidence FROM incidents) i LEFT JOIN z ON z.incident_id = i.id")
-def assessment_update(spark, d):
-    i = table(spark, d, "incidents").select("id", "confidence").distinct()
-    a = assessed(spark, d).select("incident_id", "conf")
-    return i.join(a, F.col("id") == F.col("incident_id"), "left").select("id", F.round(F.coalesce("conf", "confidence"), 6).alias("confidence"), F.col("incident_id").isNotNull().alias("updated"))
-
-
-@query("contradictions_all", f"""WITH {_CLAIMS}, l AS (SELECT incident_id, count(DISTINCT place) AS p FROM (SELECT incident_id, lower(trim(location_resolved, ' ')) AS place FROM m JOIN (SELECT DISTINCT id, location_resolved FROM reports WHERE trim(location_resolved, ' ') <> '') USING (id)) GROUP BY 1)
-SELECT incident_id, 'numeric' AS kind, count(*) AS n FROM (SELECT a.incident_id FROM k a JOIN k b ON a.incident_id = b.incident_id AND a.category = b.category AND a.high < b.low) GROUP BY 1
-UNION ALL SELECT incident_id, 'location', p * (p - 1) // 2 FROM l WHERE p > 1""")
-def contradictions_all(spark, d):
-    """Disagreeing pairs of claim classes per incident and kind, with deterministic kinds."""
-    n = contradiction_numeric(spark, d).groupBy("incident_id").agg(F.count("*").alias("n")).select("incident_id", F.lit("numeric").alias("kind"), "n")
-    l = place_classes(spark, d).groupBy("incident_id").agg(F.count("*").alias("p")).filter("p > 1").select("incident_id", F.lit("location").alias("kind"), F.expr("p * (p - 1) div 2").alias("n"))
-    return n.union(l)
-
-
 @query("note_carryover", """SELECT i.id, a.notes FROM (SELECT DISTINCT id FROM incidents) i LEFT JOIN (SELECT incident_id, arg_max(notes, struct_pack(t := timestamp_utc, i := id)) AS notes FROM audit_logs WHERE notes <> '' GROUP BY 1) a ON a.incident_id = i.id""")
 def note_carryover(spark, d):
     """The latest note of each incident, carried to its current version; incidents without one keep null."""
@@ -774,15 +537,6 @@ def extraction_display(spark, d):
     return table(spark, d, "extractions").filter("field_name <> 'location_raw'").select("id", shown.alias("shown")).distinct()
 
 
-@query("extract_location")
-def extract_location(spark, d):
-    """Raw place phrases by wording: what stands behind near or at, or before mein, pe or ke paas."""
-    t = F.col("t")
-    got = [F.regexp_extract_all(t, F.lit(rf"(?iu){p}"), F.lit(1)) for p in (r"\bnear\s+([\p{L}\p{N}_\s]+?)(?:\s+area|\s+thana|\s+police\s+station|\.|,|$)", r"\bat\s+([\p{L}\p{N}_\s]+?)(?:\s+area|\s+intersection|\.|,|$)", r"([\p{L}\p{N}_\s]+?)\s+(?:mein|pe|ke\s+paas)")]
-    phrases = F.array_distinct(F.filter(F.transform(F.flatten(F.array(*got)), lambda x: F.trim(x)), lambda x: F.length(x) >= 3))
-    return texts(spark, d).select("id", F.posexplode(phrases).alias("ord", "phrase"))
-
-
 @query("gazetteer_fuzzy")
 def gazetteer_fuzzy(spark, d, least: float = 0.75, apart: float = 0.05):
     """Distinct phrases without an exact place -> the place of highest ratio, null where the second best is too near.
@@ -808,4 +562,4 @@ def embed_reports(spark, d):
     """A unit vector for every report's normalised text, by the offline embedder."""
     from sangam.operators.vectors import embed
 
-    return texts(spark, d).select("id", embed("t").alias("embedding"))
+    return texts(spark, d).select("id", embed("t").alias("embedding")).distinct()

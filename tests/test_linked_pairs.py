@@ -4,14 +4,16 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sangam.functions.patterns import RELATED_TYPES
 from sangam.operators.geo import _np_haversine
 from sangam.operators.pairs import linked_pairs
 from sangam.plans import fusion
 
-REPORTS = "id string, place string, lat double, lon double, at timestamp, kind string, v long"
+REPORTS = "id string, place string, lat double, lon double, at timestamp, kind string, v long, e binary"
 T0 = datetime(2025, 6, 1)
+COLUMNS = ("id", "place", "lat", "lon", "us", "kind", "e")
 
 
 def score(a, b, vectors):
@@ -31,7 +33,7 @@ def score(a, b, vectors):
 
 def test_linked_pairs_against_all_pairs(spark):
     r = random.Random(8)
-    vectors = {k: [r.gauss(0, 1) + (k % 3 == i) * 3 for i in range(4)] for k in range(20)}
+    vectors = {k: [round(20 * (r.gauss(0, 1) + (k % 3 == i) * 3)) for i in range(4)] for k in range(20)}
     rows = []
     for i in range(260):
         lat, lon = 28.6 + r.uniform(-0.04, 0.04), 78.9 + r.uniform(-0.04, 0.04)
@@ -39,7 +41,11 @@ def test_linked_pairs_against_all_pairs(spark):
             lat, lon = r.choice([(None, None), (None, 78.9), (95.0, 78.9), (28.6, 78.9)])
         at = None if r.random() < 0.2 else T0 + timedelta(seconds=r.randrange(50000))
         rows.append((f"R{i:03d}", r.choice([None, "", "tola", "bagh"]), lat, lon, at, r.choice([None, "flood", " Flood", "waterlogging", "power_outage", ""]), r.choice([*range(21), None])))
-    got = {(x["id_a"], x["id_b"]): x["score"] for x in linked_pairs(spark.createDataFrame(rows, REPORTS), spark.createDataFrame(list(vectors.items()), "v long, e array<double>")).collect()}
+    coded = [(*x, np.array(vectors.get(x[6]) or [0] * 4, np.int8).tobytes()) for x in rows]
+    d = spark.createDataFrame(coded, REPORTS).withColumn("us", F.unix_micros("at")).select(*COLUMNS)
+    got = {(x["id_a"], x["id_b"]): x["score"] for x in linked_pairs(d).collect()}
+    cut = {(x["id_a"], x["id_b"]): x["score"] for x in linked_pairs(d, block=16, group_rows=100).collect()}  # every meeting place is hot
+    assert got == cut and linked_pairs(d.limit(0)).count() == 0
     want = {(a[0], b[0]): s for a, b in combinations(rows, 2) if (s := score(a, b, vectors)) >= 0.6 - 1e-10}
     assert got.keys() == want.keys() and len(want) > 500
     assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
@@ -47,7 +53,7 @@ def test_linked_pairs_against_all_pairs(spark):
 
 @pytest.fixture()
 def folder(spark, tmp_path):
-    """R1 and R2: one place, three hours apart. R3 and R4: no time stored, no location but GPS. R5 and R6: 5 km, one minute. R7: nothing."""
+    """R1 and R2: one place, three hours apart. R3 and R4: no time stored, no location but GPS. R5 and R6: 5 km, one minute. R7: nothing. All texts are alike."""
     ist = lambda m: f"2025-08-01T10:{m:02d}:00+05:30"
     rows = [
         ("R1", "sms", "tola", 28.6, 78.9, None, None, None, T0), ("R2", "sms", "tola", 28.6, 78.9, None, None, None, T0 + timedelta(hours=3)),
@@ -55,10 +61,9 @@ def folder(spark, tmp_path):
         ("R5", "sms", None, 28.7, 78.1, None, None, None, T0 + timedelta(days=9)), ("R6", "sms", None, 28.745, 78.1, None, None, None, T0 + timedelta(days=9, minutes=1)),
         ("R7", "sms", None, None, None, None, None, "soon", None),
     ]
-    spark.createDataFrame(rows, "id string, source string, location_resolved string, location_lat double, location_lon double, gps_lat double, gps_lon double, received_at string, received_at_utc timestamp").write.parquet(f"{tmp_path}/reports.parquet")
+    spark.createDataFrame([(*x, "water is rising near the depot") for x in rows], "id string, source string, location_resolved string, location_lat double, location_lon double, gps_lat double, gps_lon double, received_at string, received_at_utc timestamp, raw_text string").write.parquet(f"{tmp_path}/reports.parquet")
     kinds = [(f"E{k}", f"R{k}", "incident_type", '"flood"') for k in (1, 2, 3, 4, 5, 6)]
     spark.createDataFrame(kinds, "id string, report_id string, field_name string, value string").write.parquet(f"{tmp_path}/extractions.parquet")
-    spark.createDataFrame([(0, [1.0, 2.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     return str(tmp_path)
 
 

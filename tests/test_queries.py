@@ -9,10 +9,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from sangam.plans import fusion, problems
+from sangam.plans import fusion, problems, records
 
-MODULES = {**fusion.QUERIES, **problems.QUERIES}
-SQL = {**fusion.SQL, **problems.SQL}
+MODULES = {**fusion.QUERIES, **problems.QUERIES, **records.QUERIES}
+SQL = {**fusion.SQL, **problems.SQL, **records.SQL}
 
 
 def rows(df):
