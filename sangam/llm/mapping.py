@@ -4,8 +4,9 @@ A value is brought to its canonical form and folded (letter case, long vowels, d
 variants, in Latin and Devanagari). An Aho-Corasick automaton over the folded names and aliases finds embedded mentions;
 the longest non-overlapping one that names one place, kind included, wins. What remains goes to token-set similarity:
 the words around the place are set aside, the rest is read as name + kind in either order, joined or apart, and the
-token set is compared with every entry's by weighted edit distance (q-grams choose the entries worth comparing; the
-reference list is small and travels with the tasks).
+token set is compared with the entries' by weighted edit distance. Only entries whose consonants are within the edits that
+the distance allows are compared, found in an index of deletions; that bound is exact, so every entry within the limit and
+every rival is seen. Each distinct value is matched once. The reference list travels with the tasks.
 
 Names are `proper part + kind` (a mill is not a bridge): an entry of the same name and another kind is another place,
 and a value without a kind counts only if one entry bears the name. The kinds and their spellings are read from the list.
@@ -19,14 +20,16 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+import uuid
+from itertools import combinations
 
 import ahocorasick
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sangam.llm.canonical import TO_LATIN, base_form
+from sangam.session import broadcast_if_small, durable
 
 UNMATCHED = "unmatched"
 MAX_ENTRIES = 100_000
@@ -97,6 +100,33 @@ def distance(a: str, b: str, limit: float) -> float:
     return row[-1]
 
 
+def _letter_classes() -> dict[str, str]:
+    """Letter -> the letter that stands for all those it can become at less than a whole edit; "" for letters (and those they
+    can become) that can be lost at less than a whole edit."""
+    group: dict[str, set[str]] = {}
+    for p in _NEAR:
+        whole = set().union(*(group.get(c, {c}) for c in p))
+        group.update(dict.fromkeys(whole, whole))
+    out = {c: min(g) for c, g in group.items()}
+    for c in _SOFT:
+        out.update(dict.fromkeys(group.get(c, {c}), ""))
+    return out
+
+
+_CLASS = _letter_classes()
+_CHEAPEST = 0.9  # a change of the skeleton costs at least this much (two letters swapped)
+
+
+def skeleton(s: str) -> str:
+    """The letters whose loss or change costs a whole edit, one for each class."""
+    return "".join(_CLASS.get(c, c) for c in s)
+
+
+def deletions(s: str, most: int) -> set[str]:
+    """`s` without any up to `most` of its letters. Strings within `most` edits (swaps included) have one in common."""
+    return {"".join(c for i, c in enumerate(s) if i not in gone) for k in range(min(most, len(s)) + 1) for gone in combinations(range(len(s)), k)}
+
+
 class Gazetteer:
     """The reference list, ready for matching. Entries: (id, names in any script, aliases)."""
 
@@ -142,30 +172,26 @@ class Gazetteer:
             self.automaton.make_automaton()
         self.has_forms = bool(full)
         self.names = list(self.bases)
-        self.grams: dict[str, int] = {}
-        rows = [[self.grams.setdefault(g, len(self.grams)) for g in self._q(b)] for b in self.names]
-        self.matrix = np.zeros((len(rows), max(1, len(self.grams))), np.float32)
-        for i, r in enumerate(rows):
-            self.matrix[i, r] = 1
-        self.sizes = self.matrix.sum(1)
-
-    @staticmethod
-    def _q(s: str) -> set[str]:
-        t = f"^{s}$"
-        return {t[i : i + 2] for i in range(len(t) - 1)}
+        self.sizes = (min(map(len, self.names)), max(map(len, self.names))) if self.names else None
+        self.index: dict[str, list[int]] = {}
+        for i, b in enumerate(self.names):
+            for key in deletions(skeleton(b), self.EDITS):
+                self.index.setdefault(key, []).append(i)
+
+    #: edits of the skeleton that the largest limit of match() leaves room for
+    EDITS = 2
 
     def near(self, text: str, limit: float) -> list[tuple[float, str]]:
-        """(distance, proper part) of the proper parts within `limit`, nearest first."""
+        """(distance, proper part) of all proper parts within `limit`, nearest first."""
         if text in self.bases:
             return [(0.0, text)]
-        q = self._q(text)
-        hits = [self.grams[g] for g in q if g in self.grams]
-        if not hits:
-            return []
-        common = self.matrix[:, hits].sum(1)
-        score = common / (self.sizes + len(q) - common)
-        best = np.argsort(-score)[:12]
-        out = [(distance(text, self.names[i], limit), self.names[i]) for i in best if score[i] > 0.12]
+        if not self.sizes or not self.sizes[0] <= len(text) + limit / 0.4 or not len(text) - limit / 0.4 <= self.sizes[1]:
+            return []  # a letter more or less costs 0.4 at least, so no name is near in length
+        edits = int(limit / _CHEAPEST)
+        if edits > self.EDITS:
+            raise ValueError(f"the index holds for limits under {(self.EDITS + 1) * _CHEAPEST}")
+        at = {i for key in deletions(skeleton(text), edits) for i in self.index.get(key, ())}
+        out = [(distance(text, self.names[i], limit), self.names[i]) for i in at]
         return sorted(x for x in out if x[0] <= limit)
 
     def kind(self, word: str) -> tuple[float, str] | None:
@@ -178,10 +204,19 @@ class Gazetteer:
         return best if best[0] <= 1.0 else None
 
     def mentions(self, folded: list[str]) -> set[str] | None:
-        """Places of the longest non-overlapping mention, None if there is none."""
+        """Places of the longest of the non-overlapping mentions (of all of them if several are equally long), None if there is none."""
         text = f" {' '.join(folded)} "
-        found = sorted(((n, end, ids) for end, (n, ids) in self.automaton.iter(text)), key=lambda x: -x[0]) if self.has_forms else []
-        return set(found[0][2]) if found else None
+        hits = sorted(((n, end, ids) for end, (n, ids) in self.automaton.iter(text)), key=lambda x: (-x[0], x[1])) if self.has_forms else []
+        taken: list[tuple[int, int]] = []
+        places: set[str] = set()
+        for n, end, ids in hits:
+            if n < hits[0][0]:
+                break
+            # a form is found with the blanks around it, which neighbours share
+            if all(end - n <= a or end >= b + n for a, b in taken):
+                taken.append((end - n, end))
+                places |= ids
+        return places or None
 
     def readings(self, folded: list[str]) -> list[tuple[float, str, str | None]]:
         """(penalty, proper part, kind) ways to read the words that are left."""
@@ -223,7 +258,7 @@ class Gazetteer:
             readings += [(p + 0.05, x, k) for p, x, k in self.readings([w for w in spelled if w])]
         for penalty, proper, kind in readings:
             limit = min(1.2, 0.3 * len(proper)) if is_devanagari(proper) else 0.6 if len(proper) < 5 else 1.65 if len(proper) < 7 else 2.05
-            for d, name in self.near(proper, limit)[:3]:
+            for d, name in self.near(proper, limit):
                 found.append((d + penalty, kind is None, name, kind))
         if not found:
             return UNMATCHED
@@ -262,37 +297,37 @@ def load_entries(gazetteer: DataFrame, id_col: str, name_cols: list[str], alias_
     return [e for e in out if e[0] is not None and e[1]]
 
 
-def map_values(df: DataFrame, value: Column, gazetteer: DataFrame, id_col: str, name_cols: list[str], alias_col: str, out_col: str = "entry", exact_col: str = "is_exact") -> DataFrame:
+def map_values(df: DataFrame, value: Column, gazetteer: DataFrame, id_col: str, name_cols: list[str], alias_col: str, out_col: str = "entry", exact_col: str = "is_exact", max_broadcast_rows: int = 200_000) -> DataFrame:
     """`df` plus out_col (an entry's id, `unmatched`, or null) and exact_col (the decoded value equals a stored name)."""
-    shared = df.sparkSession.sparkContext.broadcast(load_entries(gazetteer, id_col, name_cols, alias_col))
+    shared = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, load_entries(gazetteer, id_col, name_cols, alias_col)))
 
     @F.pandas_udf("struct<entry:string,is_exact:boolean>")
     def entry(values: pd.Series) -> pd.DataFrame:
         g = _gazetteer(shared)
-        memo: dict[str, str] = {}
         ids, exact = [], []
         for v in map(decode, values):
-            if v is None or not base_form(v).strip():
-                ids.append(None)
-                exact.append(False)
-                continue
-            if v not in memo:
-                memo[v] = g.match(v)
-            ids.append(memo[v])
-            exact.append(v in g.exact)
+            blank = v is None or not base_form(v).strip()
+            ids.append(None if blank else g.match(v))
+            exact.append(not blank and v in g.exact)
         return pd.DataFrame({"entry": ids, "is_exact": exact})
 
-    d = df.withColumn("_e", entry(value))
-    return d.select(*[F.col(f"`{c}`") for c in df.columns if c not in (out_col, exact_col)], F.col("_e.entry").alias(out_col), F.col("_e.is_exact").alias(exact_col))
+    # each distinct value once; the values are spread evenly, however often they occur
+    d = df.withColumn("_v", value)
+    spread = df.sparkSession.sparkContext.defaultParallelism
+    distinct = d.select("_v").filter("_v is not null").distinct().repartition(4 * spread, "_v")
+    found = durable(distinct.select(F.col("_v").alias("_value"), entry("_v").alias("_e")), "values")
+    d = d.join(broadcast_if_small(found, max_broadcast_rows), F.col("_v") == F.col("_value"), "left")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (out_col, exact_col)]
+    return d.select(*kept, F.col("_e.entry").alias(out_col), F.coalesce("_e.is_exact", F.lit(False)).alias(exact_col))
 
 
-_LOADED: dict[int, Gazetteer] = {}
+_LOADED: dict[str, Gazetteer] = {}
 
 
 def _gazetteer(shared) -> Gazetteer:
-    """One automaton per worker and list."""
-    key = id(shared.value)
-    if key not in _LOADED:
+    """One automaton per worker and list (its name is its key)."""
+    name, entries = shared.value
+    if name not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Gazetteer(shared.value)
-    return _LOADED[key]
+        _LOADED[name] = Gazetteer(entries)
+    return _LOADED[name]

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from sangam.llm.mapping import Gazetteer, decode, fold, map_values
+from sangam.llm.mapping import Gazetteer, decode, distance, fold, map_values
 
 ENTRIES = [
     ("pipoganj_tola", ["Pipoganj Tola", "पीपोगंज टोला", "Peepoganj Tola"], ["pipoganj tolaa", "near pipoganj tola", "pipoganj"]),
@@ -29,6 +31,32 @@ def test_fold_and_decode():
     assert decode('"a\\u0915"') == "aक" and decode("plain") == "plain" and decode("null") is None and decode(None) is None and decode("12") == "12"
 
 
+def test_all_names_within_the_limit_are_compared():
+    r = random.Random(4)
+    for letters in ("bdghjkrsacivyuoh", "बदगजकरसशचिुा्ंण"):
+        words = sorted({"".join(r.choice(letters) for _ in range(r.randint(3, 9))) for _ in range(300)})
+        g = Gazetteer([(f"p{k}", [f"{w} x"], []) for k, w in enumerate(words)])
+        hits = 0
+        for w in words:
+            t = list(w)
+            for _ in range(r.randint(1, 3)):
+                k = r.randrange(len(t))
+                t[k : k + 1] = r.choice([[], [r.choice(letters)], [t[k], r.choice(letters)]])
+                t = t or ["b"]
+            q = "".join(t)
+            for limit in (0.6, 1.2, 1.65, 2.05):
+                want = [(0.0, q)] if q in g.bases else sorted((d, n) for n in g.names if (d := distance(q, n, limit)) <= limit)
+                assert g.near(q, limit) == want
+                hits += len(want)
+        assert hits > 500
+    assert g.near("द" * 100_000, 2.05) == []
+
+
+def test_equally_long_mentions_of_two_places():
+    g = Gazetteer([("a", ["Bagha Tola"], []), ("b", ["Digho Tola"], [])])
+    assert g.mentions("bagha tola digho tola".split()) == {"a", "b"} and g.mentions("digho tola".split()) == {"b"} and g.mentions(["x"]) is None
+
+
 def test_column(spark):
     g = spark.createDataFrame([(i, n[0], n[1], n[2], a) for i, n, a in ENTRIES] + [(None, "x", None, None, None)], "location_id string, name_en string, name_hi string, name_hi_latn string, aliases array<string>")
     rows = [(1, '"Pipoganj Tola"', "x"), (2, '"Pipoganj Tolla"', "x"), (3, '"  "', "x"), (4, None, "x"), (5, "null", "x"), (2, '"Pipoganj Tolla"', "x"), (6, '"' + "main road " * 3000 + '"', "x")]
