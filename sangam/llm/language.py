@@ -169,14 +169,31 @@ class Ftrl:
         self.n += g * g
 
 
-def train(texts: list[str], labels: np.ndarray, idf: np.ndarray, epochs: int = 3, batch: int = 128, seed: int = 5) -> Model:
+def temperature(p: np.ndarray, labels: np.ndarray) -> float:
+    """The temperature under which held-out labels are most likely, when a share of them is wrong at random.
+
+    Sentences that the model contradicts stay in: a label is drawn from the model's (tempered) belief or, with the share e,
+    evenly from all languages. e and the temperature are fitted together, so wrong labels don't make a sure model look unsure,
+    and right ones don't make it look infallible."""
+    best = (np.inf, 1.0)
+    logp = np.log(np.maximum(p, 1e-300))
+    for t in np.geomspace(0.2, 5, 40) if len(p) else ():
+        q = logp / t
+        q = np.exp(q - q.max(1, keepdims=True))
+        own = (q / q.sum(1, keepdims=True))[np.arange(len(q)), labels]
+        for e in np.linspace(0.01, 0.6, 60):
+            best = min(best, (-np.log((1 - e) * own + e / p.shape[1]).mean(), t))
+    return float(best[1])
+
+
+def train(texts: list[str], labels: np.ndarray, idf: np.ndarray, groups: np.ndarray | None = None, epochs: int = 3, batch: int = 128, seed: int = 5) -> Model:
     """Two rounds: on the labels given, then without the sentences whose label the first model contradicts; every tenth
-    sentence is held out for the temperature."""
+    group (text) is held out for the temperature, whatever the model says of its labels."""
     classes = len(LANGUAGES)
     f, first = features(texts)
     ends = np.append(first[1:], len(f))
     norm = np.sqrt(np.maximum(np.add.reduceat(idf[f] ** 2, first), 1e-9)) if len(f) else np.ones(len(texts))
-    held = np.arange(len(texts)) % 10 == 0
+    held = (np.arange(len(texts)) if groups is None else groups) % 10 == 0
     keep = ~held
     model = None
     for _ in range(2):
@@ -193,15 +210,7 @@ def train(texts: list[str], labels: np.ndarray, idf: np.ndarray, epochs: int = 3
         model = Model(np.column_stack([w[:DIM] * idf[:, None], idf**2]).astype(np.float32), w[DIM], 1.0)
         p = model.probabilities(texts)
         keep = ~held & (p.argmax(1) == labels)
-    agreed = held & (p.argmax(1) == labels)
-    logp = np.log(np.maximum(p[agreed], 1e-12))
-    best = (np.inf, 1.0)
-    for t in np.geomspace(0.2, 5, 40):
-        q = logp / t
-        q -= q.max(1, keepdims=True)
-        loss = -(q[np.arange(len(q)), labels[agreed]] - np.log(np.exp(q).sum(1))).mean() if len(q) else 0.0
-        best = min(best, (loss, t))
-    model.temperature = float(best[1])
+    model.temperature = temperature(p[held], labels[held])
     return model
 
 
@@ -237,16 +246,17 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows:
     """A model from about sample_rows labelled texts (bounded_sample) and idf over all texts."""
     labelled = df.filter(F.col(label_col).isin(*LANGUAGES) & F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("t"), F.col(label_col).alias("y"))
     sample = bounded_sample(labelled, id_col, sample_rows).toPandas().sort_values([id_col, "t"])
-    texts, labels = [], []
-    for t, y in zip(sample["t"], sample["y"]):
+    texts, labels, groups = [], [], []
+    for k, (t, y) in enumerate(zip(sample["t"], sample["y"])):
         for _, _, s, n in pieces_of(t):
             if n >= 3:
                 texts.append(s)
                 labels.append(LANGUAGES.index(y))
+                groups.append(k)
     idf = inverse_frequencies(df, text_col)
     if not texts:
         return Model(np.zeros((DIM, len(LANGUAGES) + 1), np.float32), np.zeros(len(LANGUAGES)), 1.0)
-    return train(texts, np.array(labels), idf)
+    return train(texts, np.array(labels), idf, np.array(groups))
 
 
 SEGMENTS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("language", StringType()), StructField("confidence", DoubleType())]))

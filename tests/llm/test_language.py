@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from sangam.llm.language import LANGUAGES, fit, label_texts, pieces_of, sentences, train
+from sangam.llm.language import temperature, LANGUAGES, fit, label_texts, pieces_of, sentences, train
 
 EN = ["The road near {} is blocked since morning.", "Please send two boats to {} today.", "Water has entered the houses around {}.", "Nobody from the ward office has come to {}."]
 HI = ["{} के पास सड़क सुबह से बंद है।", "आज {} में दो नाव भेज दीजिए।", "{} के घरों में पानी घुस आया है।", "वार्ड कार्यालय से {} कोई नहीं आया।"]
@@ -56,3 +56,21 @@ def test_training_drops_wrong_labels():
     noisy = np.array([k if r.random() < 0.75 else r.randrange(3) for k in y])
     m = train(texts, noisy, np.ones(1 << 16))
     assert (m.probabilities(texts).argmax(1) == np.array(y)).mean() > 0.97 and m.temperature > 0
+
+
+def test_temperature_is_reliable_under_wrong_labels():
+    """Beliefs that are twice as sure as they should be, labels of which a fifth is wrong: the fitted temperature makes the
+    stated confidence equal to how often the model is right, within 5 %."""
+    r = np.random.default_rng(9)
+    logits = r.normal(0, 1.5, (6000, 3))
+    true = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+    y = (true.cumsum(1) > r.random((6000, 1))).argmax(1)
+    noisy = np.where(r.random(6000) < 0.2, r.integers(0, 3, 6000), y)
+    sure = np.exp(2 * logits) / np.exp(2 * logits).sum(1, keepdims=True)
+    t = temperature(sure, noisy)
+    q = sure ** (1 / t)
+    q /= q.sum(1, keepdims=True)
+    for low, high in ((0.4, 0.6), (0.6, 0.8), (0.8, 0.95)):
+        at = (q.max(1) >= low) & (q.max(1) < high)
+        assert abs(q.max(1)[at].mean() - (q.argmax(1) == y)[at].mean()) < 0.05
+    assert 1.6 < t < 2.5
