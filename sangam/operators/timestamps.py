@@ -1,8 +1,10 @@
 """Mixed timestamp formats and zones -> one UTC instant.
 
-Each text gets the set of its valid readings (format x day order x zone). Expectation-maximisation per source then fits
+Each text gets the set of its valid readings: those of its format in every day order (a zone that isn't written is
+default_zone, so it adds no reading). Expectation-maximisation per source then fits
 a mixture over readings: every text adds to its readings in proportion to their posterior, and the fitted mixture
-chooses among several readings or marks the text as ambiguous. Texts are read in one Arrow UDF (a zone's skipped and
+chooses among several readings or marks the text as ambiguous. A stated day order (day_first) is a prior of 0 on the other
+orders: it leaves one reading a text, and the mixture has nothing left to choose. Texts are read in one Arrow UDF (a zone's skipped and
 repeated hours have no built-in function); EM runs on counts aggregated by (source, set of readings), never on rows.
 
 Defined results: null text -> status `missing`; blank, unreadable or impossible text -> `invalid`; a local time that a
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from sangam.session import broadcast_if_small
+from sangam.session import broadcast_if_small, durable
 
 # Month names.
 MONTHS = {
@@ -204,7 +206,8 @@ def normalise_timestamps(
     source = F.col(source) if isinstance(source, str) else source
     weights = mixture_of(df, text, source, day_first, default_zone)
     weights = weights.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("reading", "weight"))).alias("_w"))
-    weights = broadcast_if_small(weights.withColumnRenamed("source", "_wsrc"), max_broadcast_rows)
+    # written once: EM isn't run again for the count and the join
+    weights = broadcast_if_small(durable(weights.withColumnRenamed("source", "_wsrc"), "mixture"), max_broadcast_rows)
     d = with_readings(df.withColumn("_src", source), text, default_zone)
     d = d.join(weights, F.col("_src").eqNullSafe(F.col("_wsrc")), "left")
     scored = F.transform(

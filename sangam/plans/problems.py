@@ -30,6 +30,15 @@ def p2_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("source", "reading", F.round("weight", 9).alias("weight"))
 
 
+def p2_unstated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every received_at that has readings of different instants when no day order is stated: what the channel's fitted mixture
+    makes of it, with its posterior (utc_us is null where that leaves it ambiguous)."""
+    r = table(spark, sf_dir, "reports").select("id", "source", "received_at")
+    n = normalise_timestamps(r, "received_at", channel(), day_first=None, default_zone="Asia/Kolkata")
+    doubtful = F.col("received_at").rlike(r"^\s*\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}\b") & F.col("ts_posterior").isNotNull()
+    return n.filter(doubtful).select("id", "ts_status", "ts_reading", F.round("ts_posterior", 6).alias("posterior"), "utc_us").distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report and gazetteer region for every report position inside the region's circle."""
     r = distinct_reports(table(spark, sf_dir, "reports"), "id", "gps_lat", "gps_lon")
@@ -37,7 +46,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return within_distance(r, g, "id", "location_id", "gps_lat", "gps_lon", "lat", "lon", "radius_m").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_formats": p2_formats, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p2_formats": p2_formats, "p2_unstated": p2_unstated, "p5_found": p5_found}
 
 _R = "6371000.0"
 SQL = {
