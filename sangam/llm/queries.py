@@ -11,7 +11,7 @@ from sangam.llm.language import fit, label_texts
 from sangam.llm.mapping import map_values
 from sangam.llm.mixture import mix
 from sangam.llm.neardup import near_duplicate_classes, similar_pairs, word_sets
-from sangam.llm.spans import shared_factors, shared_parts, sharing_pairs
+from sangam.llm.spans import shared_factors, shared_parts, shared_spans, sharing_pairs
 from sangam.llm.tokens import encode_column
 from sangam.session import durable
 from sangam.sources.tables import table
@@ -106,7 +106,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document lies in spans of at least 240 code points shared with others."""
     docs = table(spark, sf_dir, "documents")
-    return shared_parts(docs, shared_factors(docs))
+    return shared_parts(docs, shared_spans(docs))
 
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}

@@ -1,14 +1,14 @@
-"""Long exact spans shared between documents, by relative Lempel-Ziv factors over indexed reference blocks.
+"""Long exact spans shared between documents, by winnowed anchors and extension of matches.
 
-A span of `length` code points holds `length - gram + 1` grams, so the least hash in every run of that many grams marks
-an anchor that both documents choose (winnowing). Documents are not factored against every block: only blocks that hold
-one of a document's anchors can give a long factor. A block is all occurrences of some anchors with their surroundings
-(as far as a span through the anchor can reach); a document's stretch is factored against the block's distinct
-stretches by growing the match at the anchor to both sides, and factors of at least `length` are shared spans. That is
-exact: anchors only propose, texts decide.
+No document is greedily factored against an indexed reference (relative Lempel-Ziv parsing): that needs every document to
+meet every reference block. Instead, a span of `length` code points holds `length - gram + 1` grams, so the least hash in
+every run of that many grams marks an anchor that both documents choose (winnowing), and only stretches around equal
+anchors meet. For anchors with few occurrences the match is grown at the anchor to both sides and kept if it is at least
+`length` long: texts decide.
 
 An anchor with very many occurrences (a recurring footer) is split: every window of `length` code points through it
-becomes a key of its own (128-bit digest), so only documents that share a whole window meet.
+becomes a key of its own, and documents share a span if they share a key. The key is a 128-bit digest of the window; the
+texts themselves are not compared again there.
 
 Defined results: null and short texts share nothing; a repetition inside one document is none; rows of one doc_id and
 equal text count once (copies add nothing to pairs or cover); texts are used whole, line breaks and blanks included.
@@ -142,9 +142,8 @@ def factor_block(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["doc_a", "doc_b", "start_a", "start_b", "size"])
 
 
-def shared_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 240, gram: int | None = None, hot: int = 64, block_rows: int = 20_000, cover: bool = True) -> DataFrame:
-    """Factors (doc_a < doc_b, start_a, start_b, size >= length): together they cover every shared span; long spans come in
-    overlapping parts. cover False is enough for pairs: a span that recurs in one document is then placed once."""
+def _meetings(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int | None, hot: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Factors of the anchors with up to `hot` occurrences, and (doc, start, k1, k2): the windows through all other anchors."""
     gram = gram or length // 2
     reach = length - gram
     d = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).filter(F.length("text") >= length)
@@ -186,9 +185,23 @@ def shared_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     rows.append((doc, start + j, int.from_bytes(k[:8], "big", signed=True), int.from_bytes(k[8:], "big", signed=True)))
             yield pd.DataFrame(rows, columns=window.names)
 
-    keyed = stretches.filter(F.col("c") > hot).mapInPandas(windows, window)
+    return few, stretches.filter(F.col("c") > hot).mapInPandas(windows, window)
+
+
+def _met(keyed: DataFrame) -> DataFrame:
+    """Digests of the windows that two documents have; their smallest and largest document tell it, so a window's documents are
+    never gathered."""
+    return keyed.groupBy("k1", "k2").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("k1", "k2")
+
+
+def shared_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 240, gram: int | None = None, hot: int = 64, block_rows: int = 20_000, cover: bool = True) -> DataFrame:
+    """Factors (doc_a < doc_b, start_a, start_b, size >= length): together they cover every shared span; long spans come in
+    overlapping parts. cover False is enough for pairs: a span that recurs in one document is then placed once.
+
+    All pairs of documents are formed that a span joins, as the result has them; for cover alone see shared_spans."""
+    few, keyed = _meetings(docs, id_col, text_col, length, gram, hot, block_rows)
     first = keyed.groupBy("k1", "k2", "doc").agg(F.min("start").alias("start"))
-    met = first.groupBy("k1", "k2").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("k1", "k2")
+    met = _met(first)
     first = first.join(met, ["k1", "k2"])
 
     def meet(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -205,11 +218,24 @@ def sharing_pairs(factors: DataFrame) -> DataFrame:
     return factors.select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b")).distinct()
 
 
-def shared_parts(docs: DataFrame, factors: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, shared_chars, share) of every document: how much of it lies in spans shared with others."""
+def spans_of(factors: DataFrame) -> DataFrame:
+    """(doc, s, e): both sides of factors."""
     a = factors.select(F.col("doc_a").alias("doc"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("size")).alias("e"))
-    b = factors.select(F.col("doc_b").alias("doc"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("size")).alias("e"))
-    spans = a.union(b).groupBy("doc", "s").agg(F.max("e").alias("e")).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    return a.union(factors.select(F.col("doc_b").alias("doc"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("size")).alias("e")))
+
+
+def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 240, gram: int | None = None, hot: int = 64, block_rows: int = 20_000) -> DataFrame:
+    """(doc, s, e) stretches that together cover what each document shares with others. A window of a recurring span counts for
+    each document that has it once two have it, so a footer in n documents costs n rows, not n * n."""
+    few, keyed = _meetings(docs, id_col, text_col, length, gram, hot, block_rows)
+    keyed = durable(keyed, "windows")
+    recurring = keyed.join(_met(keyed), ["k1", "k2"]).select("doc", F.col("start").alias("s"), (F.col("start") + length).alias("e"))
+    return spans_of(few).union(recurring)
+
+
+def shared_parts(docs: DataFrame, stretches: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_chars, shared_chars, share) of every document: how much of it lies in the stretches (doc, s, e)."""
+    spans = stretches.groupBy("doc", "s").agg(F.max("e").alias("e")).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("to")),

@@ -3,7 +3,7 @@ from itertools import combinations
 
 import pytest
 
-from sangam.llm.spans import shared_factors, shared_parts, sharing_pairs
+from sangam.llm.spans import shared_factors, shared_parts, shared_spans, sharing_pairs, spans_of
 
 
 def corpus(seed, length):
@@ -39,7 +39,8 @@ def test_pairs_and_cover(spark, hot, seed):
     for r in f.collect():
         a, b = docs[r["doc_a"]], docs[r["doc_b"]]
         assert r["doc_a"] < r["doc_b"] and r["size"] >= n and a[r["start_a"] : r["start_a"] + r["size"]] == b[r["start_b"] : r["start_b"] + r["size"]]
-    parts = {r["doc_id"]: r["shared_chars"] for r in shared_parts(d, f).collect()}
+    parts = {r["doc_id"]: r["shared_chars"] for r in shared_parts(d, shared_spans(d, length=n, hot=hot)).collect()}
+    assert parts == {r["doc_id"]: r["shared_chars"] for r in shared_parts(d, spans_of(f)).collect()}
     for i, t in docs.items():
         others = {x[j : j + n] for k, x in docs.items() if k != i for j in range(len(x) - n + 1)}
         cover = [False] * len(t)
@@ -56,3 +57,13 @@ def test_nothing(spark):
     assert sharing_pairs(shared_factors(spark.createDataFrame([(1, "a" * 5000), (2, "b" * 100)], "doc_id long, text string"))).count() == 0
     same = spark.createDataFrame([(1, "a" * 5000), (2, "a" * 400)], "doc_id long, text string")
     assert [tuple(r) for r in sharing_pairs(shared_factors(same)).collect()] == [(1, 2)]
+
+
+def test_a_footer_of_all_documents_stays_linear(spark):
+    r = random.Random(3)
+    footer = "".join(r.choice("abcdefghij ") for _ in range(70))
+    n = 3000
+    d = spark.createDataFrame([(i, f"{i * 7919:06d} " * 3 + footer) for i in range(n)], "doc_id long, text string")
+    s = shared_spans(d, length=60, hot=64)
+    assert s.count() <= n * 40  # not n * n
+    assert {x["shared_chars"] >= 70 for x in shared_parts(d, s).collect()} == {True}
