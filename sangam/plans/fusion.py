@@ -11,7 +11,7 @@ from sangam.functions import patterns as P
 from sangam.functions import text as X
 from sangam.operators import pairs as E
 from sangam.operators.geo import haversine_m, valid_position
-from sangam.sources.tables import table
+from sangam.sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -293,7 +293,7 @@ def pair_inputs(spark, d, any_format: bool = False) -> DataFrame:
     kind = table(spark, d, "extractions").filter("field_name = 'incident_type'").select(F.col("report_id").alias("id"), decoded().alias("kind")).groupBy("id").agg(F.max("kind").alias("kind"))
     r = table(spark, d, "reports")
     text = X.normalise(F.col("raw_text")) if "raw_text" in r.columns else F.lit(None).cast("string")
-    r = r.select("id", "source", "location_resolved", "location_lat", "location_lon", "gps_lat", "gps_lon", "received_at", "received_at_utc", word_vectors(text).alias("e")).distinct()
+    r = spread(r).select("id", "source", "location_resolved", "location_lat", "location_lon", "gps_lat", "gps_lon", "received_at", "received_at_utc", word_vectors(text).alias("e")).distinct()
     if any_format:
         r = normalise_timestamps(r, "received_at", channel(), day_first=True, default_zone="Asia/Kolkata")
     else:

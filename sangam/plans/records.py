@@ -17,7 +17,7 @@ from sangam.functions.text import normalise, source_name
 from sangam.operators.vectors import word_vectors
 from sangam.plans.fusion import _DECODED, _MEMBERS, _NORM, _SOURCE, _lit, decoded, members, priority_of
 from sangam.session import durable
-from sangam.sources.tables import table
+from sangam.sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None):
 
 def texts(spark, d, *cols: str) -> DataFrame:
     """Reports, redelivered rows too, with column t: the normalised raw text."""
-    return table(spark, d, "reports").select("id", *cols, normalise(F.col("raw_text")).alias("t"))
+    return spread(table(spark, d, "reports").select("id", "raw_text", *cols)).select("id", *cols, normalise(F.col("raw_text")).alias("t"))
 
 
 # ---- facts in SQL
@@ -115,7 +115,7 @@ def facts_of(rows: DataFrame) -> DataFrame:
 
 
 def text_facts(spark, d) -> DataFrame:
-    r = table(spark, d, "reports").select("id", normalise(F.col("raw_text")).alias("t"), source_name(F.col("source")).alias("channel"))
+    r = spread(table(spark, d, "reports").select("id", "raw_text", "source")).select("id", normalise(F.col("raw_text")).alias("t"), source_name(F.col("source")).alias("channel"))
     return facts_of(r).dropDuplicates(["id", "field_name", "value", "evidence"])
 
 
@@ -289,7 +289,7 @@ def corroboration(spark, d, least: float = 0.95) -> DataFrame:
 
     Members with equal vectors always share a unit, so they are folded to the first before an incident's members are met; what
     reaches Python is one row for each different text of an incident (its vector in 64 bytes)."""
-    r = table(spark, d, "reports").select("id", word_vectors(normalise(F.col("raw_text"))).alias("e"), source_name(F.col("source")).alias("channel")).distinct()
+    r = spread(table(spark, d, "reports").select("id", "raw_text", "source")).select("id", word_vectors(normalise(F.col("raw_text"))).alias("e"), source_name(F.col("source")).alias("channel")).distinct()
     m = r.join(members(spark, d), "id")
     # the zero vector is like nothing, so it isn't folded
     blank = F.col("e") == F.lit(bytes(64))

@@ -9,6 +9,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores, spread over them before costly work on each row; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def distinct_reports(reports: DataFrame, *columns: str) -> DataFrame:
     """One row per report id with the given columns. Redelivered rows are exact copies, so any copy serves; the least one
     (in column order) is taken, which makes the choice deterministic even if copies differed."""
