@@ -350,7 +350,7 @@ def assessed(spark, d) -> DataFrame:
         F.bool_or(seen("vulnerable_persons", P.VULNERABLE_SEEN)).alias("vu"), F.avg(F.when(sound, F.col("confidence"))).alias("quality"),
     )
     info = facts.filter("field_name = 'info_type'").groupBy("id").agg(F.max("value").alias("info"))
-    word = F.greatest(F.lit(0), *[F.when(X.word(k, F.col("t")), v).otherwise(0) for k, v in P.WORD_SEVERITY.items()])
+    word = F.greatest(F.lit(0), *[F.when(F.contains(F.lower("t"), F.lit(k)) & X.word(k, F.col("t")), v).otherwise(0) for k, v in P.WORD_SEVERITY.items()])
     told = F.when(F.col("info") == "explicit", 1.0).when(F.col("info") == "inferred", 0.4).otherwise(0.2)
     tx = texts(spark, d).select("id", word.alias("word")).distinct().join(m, "id").join(info, "id", "left").groupBy("incident_id").agg(F.max("word").alias("word"), F.count("*").alias("reports"), F.avg(told).alias("info"))
     s = tx.join(fx, "incident_id", "left").join(corroboration(spark, d).drop("reports"), "incident_id", "left").join(contradictions(spark, d, facts).groupBy("incident_id").agg(F.count("*").alias("disagreements")), "incident_id", "left")
