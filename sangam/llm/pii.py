@@ -74,9 +74,12 @@ def visible(t: str) -> tuple[str, list[int] | None]:
     """The text without characters that can't be seen and with single blanks, and where each character stood (None: all stayed)."""
     if not _UNSEEN.search(t):
         return t, None
-    gone = {m.start() for m in _UNSEEN.finditer(t)}
-    kept = [i for i in range(len(t)) if i not in gone]
-    return "".join(t[i] for i in kept), kept
+    kept, at = [], 0
+    for m in _UNSEEN.finditer(t):
+        kept.extend(range(at, m.start()))
+        at = m.end()
+    kept.extend(range(at, len(t)))
+    return _UNSEEN.sub("", t), kept
 
 
 # ---- characters as the network sees them
@@ -86,18 +89,37 @@ _CHARS = "abcdefghijklmnopqrstuvwxyz .,:;!?()[]/+-@#&'\"\n_%" + "".join(map(chr,
 _ID = {c: i + 5 for i, c in enumerate(_CHARS)}
 OTHER, DIGIT, RARE, RARE_HI, CODE = range(5)
 VOCABULARY = 5 + len(_CHARS)
-_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[ऀ-ॣ\u0300-\u036f\xad\u200b-\u200f\u2060\ufeff])*|\s+|.", re.S)
+_TOKEN = re.compile(r"[^\W_](?:[^\W_]+|[ऀ-ॣ\u0300-\u036f\xad\u200b-\u200f\u2060\ufeff]+)*+|\s+|.", re.S)
+_ASCII_TOKEN = re.compile(r"[A-Za-z0-9]+|\s+|.", re.S)
+
+
+def tokens(t: str) -> list[str]:
+    return (_ASCII_TOKEN if t.isascii() else _TOKEN).findall(t)
+
+
 _ENDS = re.compile(r"[.।!?]+(?=\s)|\n")
 # Abbreviations whose full stop ends no sentence.
 _NO_END = {"no", "h.no", "h", "mr", "mrs", "ms", "dr", "smt", "opp", "moh", "col", "st", "plot", "flat"}
 
 
+class _Words(dict):
+    """Tokens as the network sees them, kept as they are met."""
+
+    def __init__(self, reader: Reader):
+        super().__init__()
+        self.reader = reader
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = value = bytes(self.reader._word(key)[0])
+        return value
+
+
 class Reader:
     """Texts to network characters, one byte each."""
 
     def __init__(self, common: set[str]):
         self.common = common
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self)
 
     def _word(self, w: str) -> tuple[list[int], list[int]]:
         """Ids of one token and their places in it."""
@@ -122,21 +144,14 @@ class Reader:
         return [mark] * 3, [kept[0], kept[0], kept[-1]]
 
     def read(self, t: str) -> bytes:
-        tokens, words = _TOKEN.findall(t), self.words
-        try:
-            return b"".join([words[w] for w in tokens])
-        except KeyError:
-            if len(words) > 300_000:
-                words.clear()
-            for w in tokens:
-                if w not in words:
-                    words[w] = bytes(self._word(w)[0])
-            return b"".join([words[w] for w in tokens])
+        if len(self.words) > 300_000:
+            self.words.clear()
+        return b"".join(map(self.words.__getitem__, tokens(t)))
 
     def places(self, t: str) -> tuple[list[int], list[int], list[int]]:
         """For each character of read(t): its place in t, and the start and end of its token."""
         pos, starts, ends, at = [], [], [], 0
-        for w in _TOKEN.findall(t):
+        for w in tokens(t):
             own = self._word(w)[1]
             pos += [at + i for i in own]
             starts += [at + own[0]] * len(own) if own else []
@@ -227,35 +242,60 @@ class Tagger:
             np.multiply(s[..., 3 * h :] * m[t], np.clip(c, -1, 1), out=hs[t + 1])
         return hs, cs, gates, gates == z
 
-    def _hidden(self, x, d):
-        """Hidden states only, for use without gradients. Padding (id VOCABULARY) closes all gates, so it leaves no state."""
+    def _hidden(self, ids, wanted, scaled):
+        """Hidden states of the prefixes of ids [T, B], for use without gradients: of columns `wanted` [T, B], each the first that begins
+        so. Columns are in order, so those with one prefix are neighbours. Returns all states and the state's number at each place."""
         h = self.h
-        table, wh, low = self._scaled(d)
-        table[VOCABULARY] = -1e4
-        n, b = x.shape
-        out = np.empty((n, b, h), np.float32)
-        z, into = np.empty((b, 4 * h), np.float32), np.empty((b, 4 * h), np.float32)
-        hidden, cell, tmp = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32), np.empty((b, h), np.float32)
-        for t in range(n):
-            np.matmul(hidden, wh, out=z)
-            np.take(table, x[t], axis=0, out=into, mode="clip")
-            z += into
+        table, wh, low = scaled
+        place = np.cumsum(wanted, axis=1) - 1
+        states = []
+        hidden = cell = None
+        for t in range(len(ids)):
+            at = np.flatnonzero(wanted[t])
+            z = np.take(table, ids[t, at], axis=0)
+            if t:
+                before = place[t - 1, at]
+                z += np.take(hidden, before, axis=0) @ wh
+                cell = np.take(cell, before, axis=0)
+            else:
+                cell = np.zeros((len(at), h), np.float32)
             np.maximum(z, low, out=z)
             np.minimum(z, 1, out=z)
             cell *= z[:, h : 2 * h]
-            np.multiply(z[:, :h], z[:, 2 * h : 3 * h], out=tmp)
+            tmp = z[:, :h] * z[:, 2 * h : 3 * h]
             cell += tmp
             np.maximum(cell, -1, out=tmp)
             np.minimum(tmp, 1, out=tmp)
-            np.multiply(z[:, 3 * h :], tmp, out=out[t])
-            hidden = out[t]
-        return out
-
-    def infer(self, ids):
-        """Tag scores [T, B, K] of ids [T, B], padded at the end."""
-        n, b = ids.shape
-        f, g = (x.reshape(n * b, self.h) for x in (self._hidden(ids, "f"), self._hidden(ids[::-1], "b")[::-1]))
-        return (f @ self.p["out"][: self.h] + g @ self.p["out"][self.h :] + self.p["ob"]).reshape(n, b, -1)
+            hidden = z[:, 3 * h :] * tmp
+            states.append(hidden)
+        place += (np.cumsum([len(x) for x in states]) - list(map(len, states)))[:, None]
+        return np.concatenate(states), place
+
+    def infer(self, flat, first, size, batch: int = 1024):
+        """Tag scores [sum(size), K] of the windows flat[first : first + size], one after the other. In either direction, windows
+        that begin alike share their states."""
+        at, steps = np.cumsum(size) - size, np.arange(size.max())
+        total = np.float32(0)
+        for k, (d, way) in enumerate((("f", 1), ("b", -1))):
+            scaled, weight = self._scaled(d), self.p["out"][k * self.h : (k + 1) * self.h]
+            begin = first if way > 0 else first + size - 1
+            grid = np.where(steps < size[:, None], flat[np.clip(begin[:, None] + way * steps, 0, len(flat) - 1)], VOCABULARY).astype(np.uint8)
+            order = np.argsort(grid.view(f"S{len(steps)}").ravel(), kind="stable")
+            found, number, n = [], np.empty(size.sum(), np.intp), 0
+            for i in range(0, len(order), batch):
+                own = order[i : i + batch]
+                ids = np.ascontiguousarray(grid[own, : size[own].max()].T)
+                live = ids != VOCABULARY
+                wanted = live.copy()
+                wanted[:, 1:] &= ~np.logical_and.accumulate(ids[:, 1:] == ids[:, :-1], axis=0)
+                states, place = self._hidden(ids, wanted, scaled)
+                row = at[own] + steps[: len(ids), None] if way > 0 else (at + size - 1)[own] - steps[: len(ids), None]
+                number[row[live]] = place[live] + n
+                found.append(states @ weight)
+                n += len(states)
+            total = total + np.take(np.concatenate(found), number, axis=0)
+        total += self.p["ob"]
+        return total
 
     def scores(self, ids, mask):
         """Tag scores [T, B, K]; padding is at the end of each column and resets the backward state."""
@@ -393,12 +433,13 @@ class Tagger:
             new[1::2] = ways[1:].max(1)
             new[0] = ways[0].max(0)
             new += s[t]
-            step = s[t, 0] + trans[0, 0]
+            # in the same order as above, so that it is equal where no tag but O is better
+            step = into[0, 0] + plain + s[t, 0]
             if t >= short:
                 over = t >= size
                 new[:, over] = old[:, over]
-                step = np.where(over, 0, step)
-            plain += step
+                step = np.where(over, plain, step)
+            plain = step
         rows = np.flatnonzero(best[-1].max(0) > plain)
         if not len(rows):
             return {}
@@ -446,39 +487,40 @@ class Finder:
 
     def _decode(self, sentences: list[bytes]) -> None:
         """Tag paths of unseen sentences: overlapping windows in batches by length, averaged, then one Viterbi pass each."""
+        lengths = np.array([len(s) for s in sentences])
+        starts = np.cumsum(lengths) - lengths
         windows = []
-        for k, key in enumerate(sentences):
-            n = len(key)
+        for k in np.argsort(lengths, kind="stable").tolist():
+            n = int(lengths[k])
             for a in range(0, max(1, n - WINDOW + STRIDE), STRIDE) if n > WINDOW else (0,):
                 windows.append((k, a, min(n, a + WINDOW)))
-        windows.sort(key=lambda w: w[2] - w[1])
-        arrays = [np.frombuffer(s, np.uint8) for s in sentences]
-        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for i in range(0, len(windows), 512):
-            part = windows[i : i + 512]
-            size = np.array([b - a for _, a, b in part])
-            ids = np.full((size[-1], len(part)), VOCABULARY, np.intp)
-            for j, (k, a, b) in enumerate(part):
-                ids[: b - a, j] = arrays[k][a:b]
-            s = self.tagger.infer(ids)
-            whole = [j for j, (k, _, _) in enumerate(part) if len(arrays[k]) <= WINDOW]
-            for j in set(range(len(part))).difference(whole):
-                k, a, b = part[j]
-                n = len(arrays[k])
-                total, times = sums.setdefault(k, (np.zeros((n, len(TAGS)), np.float32), np.zeros((n, 1), np.float32)))
-                total[a:b] += s[: b - a, j]
-                times[a:b] += 1
-            if whole:
-                self._remember([sentences[part[j][0]] for j in whole], s if len(whole) == len(part) else s[:, whole], size[whole])
-        long = sorted(sums, key=lambda k: len(sums[k][0]))
+        k, a, b = np.array(windows).T
+        scores = self.tagger.infer(np.frombuffer(b"".join(sentences), np.uint8), starts[k] + a, b - a)
+        at = np.cumsum(b - a) - (b - a)
+
+        def batch(part: list[int], found: np.ndarray, first: np.ndarray) -> None:
+            size = lengths[part]
+            steps = np.minimum(np.arange(size.max())[:, None], size - 1)
+            self._remember([sentences[k] for k in part], np.take(found, first + steps, axis=0), size)
+
+        # windows are in order of their sentences' lengths: first those of whole sentences
+        whole = int(np.searchsorted(lengths[k], WINDOW, "right"))
+        for i in range(0, whole, 512):
+            j = min(whole, i + 512)
+            batch(k[i:j].tolist(), scores, at[i:j])
+        long = list(dict.fromkeys(k[whole:].tolist()))
+        if not long:
+            return
+        place = dict(zip(long, (np.cumsum(lengths[long]) - lengths[long]).tolist()))
+        total, times = np.zeros((lengths[long].sum(), len(TAGS)), np.float32), np.zeros((lengths[long].sum(), 1), np.float32)
+        for i in range(whole, len(windows)):
+            n, x, y = windows[i]
+            total[place[n] + x : place[n] + y] += scores[at[i] : at[i] + y - x]
+            times[place[n] + x : place[n] + y] += 1
+        total /= times
         for i in range(0, len(long), 128):
             part = long[i : i + 128]
-            size = np.array([len(sums[k][0]) for k in part])
-            s = np.zeros((size[-1], len(part), len(TAGS)), np.float32)
-            for j, k in enumerate(part):
-                total, times = sums.pop(k)
-                s[: size[j], j] = total / times
-            self._remember([sentences[k] for k in part], s, size)
+            batch(part, total, np.array([place[n] for n in part]))
 
     def _remember(self, keys: list[bytes], s: np.ndarray, size: np.ndarray) -> None:
         self.known.update(dict.fromkeys(keys, ()))
@@ -506,7 +548,7 @@ class Finder:
                     if key not in self.known:
                         unseen[key] = None
             plans.append((t, plan, stood))
-        todo = list(unseen)
+        todo = sorted(unseen)  # sentences that begin alike in one go
         for i in range(0, len(todo), 8192):
             self._decode(todo[i : i + 8192])
         out = []

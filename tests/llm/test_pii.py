@@ -130,3 +130,26 @@ def test_empty_table(spark):
     d = spark.createDataFrame([], "id long, t string")
     f = fit(d, "id", "t")
     assert isinstance(f, Finder) and f.find([None, "", "plain words"])[:2] == [[], []]
+
+
+def test_paths_without_a_mention_are_left_out():
+    """Sums of the plain path are rounded alike in both places: only better paths are traced back."""
+    r = np.random.default_rng(4)
+    s = r.normal(0, 1, (90, 400, len(TAGS))).astype(np.float32)
+    s[:, :, 0] += np.where(np.arange(400) % 2, 9, 0).astype(np.float32)
+    size = np.sort(r.integers(20, 91, 400))
+    found = Tagger().viterbi(s, size)
+    assert all(path.any() for path in found.values()) and set(found) >= set(range(0, 400, 2))
+
+
+def test_scores_of_windows_that_begin_or_end_alike():
+    r = np.random.default_rng(5)
+    start, end = r.integers(0, 40, 30), r.integers(0, 40, 25)
+    windows = [np.concatenate([start[: r.integers(0, 31)], r.integers(0, 40, r.integers(1, 9)), end[r.integers(0, 26) :]]) for _ in range(60)]
+    windows += [windows[0], np.zeros(3, int), np.zeros(5, int)]
+    size = np.array([len(w) for w in windows])
+    flat, t = np.concatenate(windows).astype(np.uint8), Tagger()
+    got = np.split(t.infer(flat, np.cumsum(size) - size, size, batch=16), np.cumsum(size)[:-1])
+    for w, one in zip(windows, got):
+        want = t.scores(w[:, None], np.ones((len(w), 1), np.float32))[0][:, 0]
+        assert np.allclose(one, want, atol=1e-5)
