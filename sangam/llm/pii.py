@@ -88,9 +88,12 @@ _NAME = r"[^\W\d_][^\W\d_ऀ-ः़-ॏ]*(?:[ऀ-ः़-ॏ]+[^\W\d_]*)*"
 _CHARS = "abcdefghijklmnopqrstuvwxyz .,:;!?()[]/+-@#&'\"\n_%" + "".join(map(chr, range(0x900, 0x980)))
 _ID = {c: i + 5 for i, c in enumerate(_CHARS)}
 OTHER, DIGIT, RARE, RARE_HI, CODE = range(5)
+_RARE_WORD, _BLANK = bytes([RARE] * 3), bytes([_ID[" "]])
 VOCABULARY = 5 + len(_CHARS)
 _TOKEN = re.compile(r"[^\W_](?:[^\W_]+|[ऀ-ॣ\u0300-\u036f\xad\u200b-\u200f\u2060\ufeff]+)*+|\s+|.", re.S)
 _ASCII_TOKEN = re.compile(r"[A-Za-z0-9]+|\s+|.", re.S)
+# a token, or a word with the single blank behind it
+_PIECE, _ASCII_PIECE = (re.compile(x.pattern.replace(r"|\s+", r"(?: (?!\s))?|\s+"), re.S) for x in (_TOKEN, _ASCII_TOKEN))
 
 
 def tokens(t: str) -> list[str]:
@@ -100,17 +103,18 @@ def tokens(t: str) -> list[str]:
 _ENDS = re.compile(r"[.।!?]+(?=\s)|\n")
 # Abbreviations whose full stop ends no sentence.
 _NO_END = {"no", "h.no", "h", "mr", "mrs", "ms", "dr", "smt", "opp", "moh", "col", "st", "plot", "flat"}
+_NO_END_LAST = {w[-1] for w in _NO_END}
 
 
-class _Words(dict):
-    """Tokens as the network sees them, kept as they are met."""
+class _Kept(dict):
+    """Values of a function, kept as they are met."""
 
-    def __init__(self, reader: Reader):
+    def __init__(self, f: Callable):
         super().__init__()
-        self.reader = reader
+        self.f = f
 
-    def __missing__(self, key: str) -> bytes:
-        self[key] = value = bytes(self.reader._word(key)[0])
+    def __missing__(self, key):
+        self[key] = value = self.f(key)
         return value
 
 
@@ -119,7 +123,7 @@ class Reader:
 
     def __init__(self, common: set[str]):
         self.common = common
-        self.words = _Words(self)
+        self.words, self.parts, self.whole = _Kept(self._word), _Kept(self._piece), _Kept(self._read)
 
     def _word(self, w: str) -> tuple[list[int], list[int]]:
         """Ids of one token and their places in it."""
@@ -143,16 +147,34 @@ class Reader:
         mark = RARE_HI if "ऀ" <= plain[0] <= "ॿ" else RARE
         return [mark] * 3, [kept[0], kept[0], kept[-1]]
 
+    def _piece(self, w: str) -> bytes:
+        blank = w[-1] == " " and not w[0].isspace()
+        word = w[:-1] if blank else w
+        if word.isascii() and word.isalpha() and word not in self.common:
+            ids = _RARE_WORD
+        else:
+            ids = bytes(self._word(word)[0])
+        return ids + _BLANK if blank else ids
+
+    def _read(self, t: str) -> bytes:
+        if len(self.parts) > 300_000:
+            self.parts.clear()
+        return b"".join(map(self.parts.__getitem__, (_ASCII_PIECE if t.isascii() else _PIECE).findall(t)))
+
     def read(self, t: str) -> bytes:
-        if len(self.words) > 300_000:
-            self.words.clear()
-        return b"".join(map(self.words.__getitem__, tokens(t)))
+        if len(t) > 4 * WINDOW:  # long ones aren't kept
+            return self._read(t)
+        if len(self.whole) > 100_000:
+            self.whole.clear()
+        return self.whole[t]
 
     def places(self, t: str) -> tuple[list[int], list[int], list[int]]:
         """For each character of read(t): its place in t, and the start and end of its token."""
         pos, starts, ends, at = [], [], [], 0
+        if len(self.words) > 100_000:
+            self.words.clear()
         for w in tokens(t):
-            own = self._word(w)[1]
+            own = self.words[w][1]
             pos += [at + i for i in own]
             starts += [at + own[0]] * len(own) if own else []
             ends += [at + own[-1] + 1] * len(own) if own else []
@@ -168,11 +190,12 @@ def split_sentences(t: str, common: set[str] = frozenset()) -> list[tuple[int, i
     number may stand inside an address)."""
     cuts = []
     for m in _ENDS.finditer(t):
-        if m.group() == ".":
-            before = t[max(0, m.start() - 8) : m.start()].rsplit(None, 1)
+        x, y = m.span()
+        if x and t[x:y] == "." and t[x - 1] in _NO_END_LAST:
+            before = t[max(0, x - 8) : x].rsplit(None, 1)
             if before and before[-1].lstrip("(,") in _NO_END:
                 continue
-        cuts.append(m.end())
+        cuts.append(y)
     if common:
         cuts += [m.start() + 1 for m in _CLAUSE.finditer(t) if m.group(1) in common]
         cuts.sort()
@@ -231,10 +254,11 @@ class Tagger:
         z = np.concatenate([tf, tb])[x + np.array([[0], [len(tf)]])]
         hs, cs = np.zeros((n + 1, 2, b, h), z.dtype), np.zeros((n + 1, 2, b, h), z.dtype)
         m = mask[..., None].astype(z.dtype)
-        gates = np.empty_like(z)
+        gates, high = np.empty_like(z), np.ones(4 * h, z.dtype)
         for t in range(n):
             z[t] += hs[t] @ wh
-            s = np.clip(z[t], low, 1, out=gates[t])
+            s = np.maximum(z[t], low, out=gates[t])
+            np.minimum(s, high, out=s)
             c = s[..., h : 2 * h] * cs[t]
             c += s[..., :h] * s[..., 2 * h : 3 * h]
             c *= m[t]
@@ -242,42 +266,44 @@ class Tagger:
             np.multiply(s[..., 3 * h :] * m[t], np.clip(c, -1, 1), out=hs[t + 1])
         return hs, cs, gates, gates == z
 
+    def _by_gate(self, d):
+        """Input table [4, ids, H] and recurrent weights [4, H, H] of _scaled, in the order in, forget, out, new: each gate lies in one piece."""
+        return [np.ascontiguousarray(x.reshape(len(x), 4, self.h)[:, [0, 1, 3, 2]].transpose(1, 0, 2)) for x in self._scaled(d)[:2]]
+
     def _hidden(self, ids, wanted, scaled):
         """Hidden states of the prefixes of ids [T, B], for use without gradients: of columns `wanted` [T, B], each the first that begins
         so. Columns are in order, so those with one prefix are neighbours. Returns all states and the state's number at each place."""
-        h = self.h
-        table, wh, low = scaled
+        table, wh = scaled
         place = np.cumsum(wanted, axis=1) - 1
         states = []
         hidden = cell = None
         for t in range(len(ids)):
             at = np.flatnonzero(wanted[t])
-            z = np.take(table, ids[t, at], axis=0)
+            z = np.take(table, ids[t, at], axis=1)
             if t:
                 before = place[t - 1, at]
-                z += np.take(hidden, before, axis=0) @ wh
+                z += np.matmul(np.take(hidden, before, axis=0), wh)
                 cell = np.take(cell, before, axis=0)
             else:
-                cell = np.zeros((len(at), h), np.float32)
-            np.maximum(z, low, out=z)
-            np.minimum(z, 1, out=z)
-            cell *= z[:, h : 2 * h]
-            tmp = z[:, :h] * z[:, 2 * h : 3 * h]
+                cell = np.zeros((len(at), self.h), np.float32)
+            np.clip(z[:3], 0, 1, out=z[:3])
+            tmp = np.clip(z[3], -1, 1, out=z[3])
+            cell *= z[1]
+            tmp *= z[0]
             cell += tmp
-            np.maximum(cell, -1, out=tmp)
-            np.minimum(tmp, 1, out=tmp)
-            hidden = z[:, 3 * h :] * tmp
+            np.clip(cell, -1, 1, out=tmp)
+            hidden = z[2] * tmp
             states.append(hidden)
         place += (np.cumsum([len(x) for x in states]) - list(map(len, states)))[:, None]
         return np.concatenate(states), place
 
-    def infer(self, flat, first, size, batch: int = 1024):
+    def infer(self, flat, first, size, batch: int = 2048):
         """Tag scores [sum(size), K] of the windows flat[first : first + size], one after the other. In either direction, windows
         that begin alike share their states."""
         at, steps = np.cumsum(size) - size, np.arange(size.max())
         total = np.float32(0)
         for k, (d, way) in enumerate((("f", 1), ("b", -1))):
-            scaled, weight = self._scaled(d), self.p["out"][k * self.h : (k + 1) * self.h]
+            scaled, weight = self._by_gate(d), self.p["out"][k * self.h : (k + 1) * self.h]
             begin = first if way > 0 else first + size - 1
             grid = np.where(steps < size[:, None], flat[np.clip(begin[:, None] + way * steps, 0, len(flat) - 1)], VOCABULARY).astype(np.uint8)
             order = np.argsort(grid.view(f"S{len(steps)}").ravel(), kind="stable")
@@ -412,6 +438,25 @@ class Tagger:
                     self.p[name] -= lr * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)
         return loss
 
+    def undecided(self, scores: np.ndarray, first: np.ndarray, size: np.ndarray, margin: float = 0.05) -> np.ndarray:
+        """Numbers of the sentences scores[first : first + size], shortest first, whose best path may have a mention. In all others every
+        stretch read as a mention scores less than O by more than `margin` (rounding is far below), even with the best ways in and out."""
+        trans, start = self._trans()
+        into, plain = trans.max(0), trans[0, 0]
+        begin, inside = np.arange(1, len(TAGS), 2), np.arange(2, len(TAGS), 2)
+        leave = np.maximum(0, np.maximum(trans[begin, 0], trans[inside, 0]) - plain)
+        begins = scores[:, 1::2] - scores[:, :1] + (np.maximum(into[begin] - plain, start[begin] - start[0]) + leave)
+        goes_on = scores[:, 2::2] - scores[:, :1] + (into[inside] - plain)
+        best = np.full((len(first), len(KINDS)), -np.inf, np.float32)
+        here = best.copy()
+        for t in range(size[-1]):
+            n = np.searchsorted(size, t, "right")
+            at, now = first[n:] + t, here[n:]
+            now += np.take(goes_on, at, axis=0)
+            np.maximum(now, np.take(begins, at, axis=0), out=now)
+            np.maximum(best[n:], now, out=best[n:])
+        return np.flatnonzero(best.max(1) >= -margin)
+
     def viterbi(self, s: np.ndarray, size: np.ndarray) -> dict[int, np.ndarray]:
         """Best tag paths of scores [T, B, K] with `size` steps in each column; columns whose best path has no mention are left out."""
         trans, start = self._trans()
@@ -498,16 +543,20 @@ class Finder:
         scores = self.tagger.infer(np.frombuffer(b"".join(sentences), np.uint8), starts[k] + a, b - a)
         at = np.cumsum(b - a) - (b - a)
 
-        def batch(part: list[int], found: np.ndarray, first: np.ndarray) -> None:
-            size = lengths[part]
-            steps = np.minimum(np.arange(size.max())[:, None], size - 1)
-            self._remember([sentences[k] for k in part], np.take(found, first + steps, axis=0), size)
+        self.known.update(dict.fromkeys(sentences, ()))
+
+        def paths(part: np.ndarray, found: np.ndarray, first: np.ndarray, batch: int) -> None:
+            some = self.tagger.undecided(found, first, lengths[part])
+            for i in range(0, len(some), batch):
+                own = some[i : i + batch]
+                size = lengths[part[own]]
+                steps = np.minimum(np.arange(size[-1])[:, None], size - 1)
+                self._remember([sentences[k] for k in part[own]], np.take(found, first[own] + steps, axis=0), size)
 
         # windows are in order of their sentences' lengths: first those of whole sentences
         whole = int(np.searchsorted(lengths[k], WINDOW, "right"))
-        for i in range(0, whole, 512):
-            j = min(whole, i + 512)
-            batch(k[i:j].tolist(), scores, at[i:j])
+        if whole:
+            paths(k[:whole], scores, at[:whole], 512)
         long = list(dict.fromkeys(k[whole:].tolist()))
         if not long:
             return
@@ -518,12 +567,9 @@ class Finder:
             total[place[n] + x : place[n] + y] += scores[at[i] : at[i] + y - x]
             times[place[n] + x : place[n] + y] += 1
         total /= times
-        for i in range(0, len(long), 128):
-            part = long[i : i + 128]
-            batch(part, total, np.array([place[n] for n in part]))
+        paths(np.array(long), total, np.array([place[n] for n in long]), 128)
 
     def _remember(self, keys: list[bytes], s: np.ndarray, size: np.ndarray) -> None:
-        self.known.update(dict.fromkeys(keys, ()))
         for j, path in self.tagger.viterbi(s, size).items():
             spans: list[tuple[int, int, str]] = []
             for t in np.flatnonzero(path):

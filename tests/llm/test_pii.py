@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from sangam.llm.pii import KINDS, TAGS, Finder, Reader, Tagger, find_mentions, fit, fits, one_form, pad, train_on
+from sangam.llm.pii import KINDS, TAGS, Finder, Reader, Tagger, find_mentions, fit, fits, one_form, pad, tokens, train_on
 from sangam.llm.pii_labels import frames, generate, weak_spans
 
 
@@ -153,3 +153,29 @@ def test_scores_of_windows_that_begin_or_end_alike():
     for w, one in zip(windows, got):
         want = t.scores(w[:, None], np.ones((len(w), 1), np.float32))[0][:, 0]
         assert np.allclose(one, want, atol=1e-5)
+
+
+def test_only_undecided_sentences_are_searched(monkeypatch):
+    """Sentences of which no stretch can win as a mention aren't searched; the paths of the others, and so all results, stay."""
+    r, t = np.random.default_rng(6), Tagger(seed=3)
+    t.p["trans"] = r.normal(0, 1, t.p["trans"].shape).astype(np.float32)
+    t.p["start"] = r.normal(0, 1, t.p["start"].shape).astype(np.float32)
+    size = np.sort(r.integers(1, 60, 600))
+    first = np.cumsum(size) - size
+    flat = r.normal(0, 1, (size.sum(), len(TAGS))).astype(np.float32)
+    flat[:, 0] += np.repeat(r.uniform(0, 9, 600), size).astype(np.float32)
+    steps = np.minimum(np.arange(size[-1])[:, None], size - 1)
+    paths, some = t.viterbi(flat[first + steps], size), t.undecided(flat, first, size)
+    assert paths.keys() <= set(some.tolist()) and 0 < len(paths) and len(some) < 500
+    f = Finder(t, {"call", "water"})
+    t.p["ob"][0] = 30
+    searched = []
+    monkeypatch.setattr(t, "viterbi", lambda s, n: searched.extend(n) or {})
+    assert f.find(["Call now. Water rises. " + "water " * 80, "Call"]) == [[], []] and not searched
+
+
+def test_texts_read_in_pieces_equal_their_tokens():
+    r = Reader({"call", "now", "पुल"})
+    for t in ("call  now", "call now ", " call.now \n x", "zed zed\t 91 a1b2 ", "call\x1f now", "पुल के पास zed 91 ", "", "ca\u200bll now", "é now  é "):
+        assert r.read(t) == b"".join(bytes(r._word(w)[0]) for w in tokens(t)), t
+        assert len(r.places(t)[0]) == len(r.read(t))
