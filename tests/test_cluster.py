@@ -1,4 +1,5 @@
 import random
+import time
 from datetime import datetime, timedelta
 from itertools import combinations
 
@@ -55,6 +56,14 @@ def test_random_graphs_match_the_whole_greedy(spark):
     assert {(x["cluster_a"], x["cluster_b"]): x["score"] for x in related(c, frames(spark, scores)[1]).collect()} == {k: s for k, s in best.items() if 0.6 <= s < 0.8}
 
 
+def test_long_chain_of_strong_pairs_costs_little():
+    """Only clusters of a record's strong partners are tried; each record tried all of some 10,000 clusters."""
+    ids = [f"R{i:05d}" for i in range(20_000)]
+    began = time.time()
+    founder = greedy(ids, {p: 0.9 for p in zip(ids, ids[1:])}, 0.8)
+    assert founder == {r: ids[i - i % 2] for i, r in enumerate(ids)} and time.time() - began < 5
+
+
 def test_scores_are_checked(spark):
     bad = spark.createDataFrame([("A", "B", x) for x in (-0.01, 1.0001, float("nan"), float("inf"), None)] + [("A", "B", 0.5)], "a string, b string, score double")
     assert invalid_scores(bad).count() == 5
